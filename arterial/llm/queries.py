@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from arterial.llm.common import table
+from arterial.llm.covertree import TOP_K_SQL, top_k_products
 from arterial.llm.mixing import mix_to_targets
+from arterial.llm.sharding import histogram_shards
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,8 +17,23 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op8_mixing": op8_mixing}
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document under the law of equal bytes."""
+    placed = histogram_shards(table(spark, sf_dir, "documents"), n_shards=24)
+    return placed.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
 
-#: None of these methods is expressible in SQL (hashes, learned models, automata, trees);
+
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five highest inner products of every query vector."""
+    return top_k_products(table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
+QUERIES = {
+    "op8_mixing": op8_mixing,
+    "op9_sharding": op9_sharding,
+    "op10_topk": op10_topk,
+}
+
+#: The other methods can't be expressed in SQL (hashes, learned models, automata);
 #: tests/llm holds each against a brute-force version instead.
-ORACLES: dict = {}
+ORACLES = {"op10_topk": TOP_K_SQL}
