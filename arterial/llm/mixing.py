@@ -26,6 +26,8 @@ from arterial.llm.common import WORD
 
 #: Ranges of the document hash. A source's slices are one row each in the small table.
 SLICES = 4096
+#: Sources up to which their plan (a row each) is broadcast.
+BROADCAST_SOURCES = 50_000
 
 
 def word_count(text: str | Column) -> Column:
@@ -95,6 +97,9 @@ def mix_to_targets(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_ep
         .select(F.col("__source").alias("__cut_source"), F.col("__slice").alias("__cut"), ((asked - (F.col("upto") - F.col("words"))) / F.col("words")).alias("__share"))
     )
     plan = plan.withColumnRenamed("source", "__plan_source").join(cut, F.col("__plan_source").eqNullSafe(F.col("__cut_source")), "left").drop("__cut_source")
+    # Few sources go to every task, so that a hot one isn't brought together; a join deals with many.
+    if sources.count() <= BROADCAST_SOURCES:
+        plan = F.broadcast(plan)
     joined = base.join(plan, F.col("source").eqNullSafe(F.col("__plan_source")), "left")
     part = F.when(F.col("__slice") < F.col("__cut"), F.col("size")).when(F.col("__slice") == F.col("__cut"), F.round(F.col("size") * F.col("__share"))).otherwise(0)
     # Whole epochs leave nothing to a cut; at the cap the fraction is 0.
