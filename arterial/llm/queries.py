@@ -8,8 +8,25 @@ from pyspark.sql import functions as F
 from arterial.llm.common import table
 from arterial.llm.covertree import TOP_K_SQL, top_k_products
 from arterial.llm.mixing import mix_to_targets
+from arterial.llm.pieces import encode_checked
+from arterial.llm.secretscan import scan_secrets
 from arterial.llm.sharding import histogram_shards
 
+#: The public vocabulary that op6 and the pipeline encode with.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every document, and whether they decode to its text."""
+    encoded = encode_checked(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECES)
+    return encoded.select("doc_id", "n_pieces", "n_byte_pieces", "exact", "ids")
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base secrets of every document and those linked from parts."""
+    found = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size, source size, target and taken words of every document."""
@@ -29,6 +46,8 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op6_sentencepiece": op6_sentencepiece,
+    "op7_secrets": op7_secrets,
     "op8_mixing": op8_mixing,
     "op9_sharding": op9_sharding,
     "op10_topk": op10_topk,
