@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from arterial.llm.common import table
 from arterial.llm.covertree import TOP_K_SQL, top_k_products
 from arterial.llm.mixing import mix_to_targets
+from arterial.llm.neardup import near_duplicates
 from arterial.llm.pieces import encode_checked
+from arterial.llm.rules import apply_rules, fit_quality_rules
 from arterial.llm.secretscan import scan_secrets
 from arterial.llm.sharding import histogram_shards
 
@@ -16,6 +18,17 @@ from arterial.llm.sharding import histogram_shards
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
 
+def op3_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base statistics of every document and the verdict of the learned rules."""
+    docs = table(spark, sf_dir, "documents")
+    return apply_rules(docs, fit_quality_rules(docs, table(spark, sf_dir, "labels")))
+
+
+def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of near-duplicate texts of every document; its smallest id is kept."""
+    return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Piece ids of every document, and whether they decode to its text."""
     encoded = encode_checked(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECES)
@@ -46,6 +59,8 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_rules": op3_rules,
+    "op5_neardup": op5_neardup,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_secrets": op7_secrets,
     "op8_mixing": op8_mixing,
