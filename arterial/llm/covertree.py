@@ -26,6 +26,8 @@ from arterial.llm.common import checkpointed
 
 BLOCK, CHUNK, SEED_ROWS = 4096, 16384, 2048
 LEAF, FAN_OUT, BASE = 32, 32, 1.5
+#: Rows of leaves, best bounds first, that meet a query group between two looks at its worst score.
+STEP_ROWS = 1024
 #: Products of sums below this are exact in doubles.
 _EXACT = 2.0**52
 
@@ -87,6 +89,12 @@ class TopK:
         return float(np.maximum(self.score[q, -1], self.floor[q]).min())
 
     def add(self, q: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        # Few rows reach a kth score, so only those are sorted in.
+        reach = scores >= np.maximum(self.score[q, -1], self.floor[q])[:, None]
+        hit, found = reach.any(1), reach.any(0)
+        if not found.any():
+            return
+        q, scores, ids = q[hit], scores[np.ix_(hit, found)], ids[found]
         scores = np.where(self.own[q][:, None] == ids[None, :], -np.inf, scores)
         s = np.concatenate([self.score[q], scores], 1)
         i = np.concatenate([self.id[q], np.broadcast_to(ids, scores.shape)], 1)
@@ -125,12 +133,15 @@ def dual_search(queries: CoverTree, data: CoverTree, ids: np.ndarray, top: TopK)
             stack.append((q, grown))
         else:
             most = bounds(q, nodes)
-            nodes, most = nodes[np.argsort(-most)], np.sort(-most) * -1
-            for at in range(0, len(nodes), 8):
-                if most[at] < top.worst(rows):
-                    break
-                found = data.rows(nodes[at : at + 8])
+            best_first = np.argsort(-most)
+            nodes, most = nodes[best_first], most[best_first]
+            ends = np.cumsum(data.stop[nodes] - data.start[nodes])
+            at = 0
+            while at < len(nodes) and most[at] >= top.worst(rows):
+                to = int(np.searchsorted(ends, ends[at] + STEP_ROWS))
+                found = data.rows(nodes[at:to])
                 top.add(rows, queries.x[rows] @ data.x[found].T, ids[found])
+                at = to
 
 
 def exact_scores(a: np.ndarray, b: np.ndarray) -> bool:
