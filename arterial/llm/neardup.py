@@ -11,7 +11,7 @@ band form a bucket. Rather than list the pairs of a bucket, rounds link across c
 
 * First every document is compared with one partner, the member of highest priority in
   all of its buckets; links that hold on the full sets join components.
-* Then, in round r, a bucket that still spans components compares about 2**r of its
+* Then, in round r, a bucket that still spans components compares about 8**r of its
   members (all, in small ones) with its members in other components. Pairs once compared
   aren't compared again. The work ends when no bucket spans components with pairs left.
 
@@ -114,6 +114,7 @@ def _sets(width: int):
 def merged(components: DataFrame, links: DataFrame) -> DataFrame:
     """``components`` (id, comp) after joining the components of each link (a, b), pairs of components.
 
+    Joins are kept from being broadcast: there are many, and each would hold memory on the driver.
     Labels are the smallest id of a component. Each round points every component at the
     smallest neighbour it knows of and follows the pointers once, so the rounds are about
     the logarithm of a chain of links."""
@@ -123,22 +124,22 @@ def merged(components: DataFrame, links: DataFrame) -> DataFrame:
     labels = checkpointed(labels)
     while True:
         known = labels.select(F.col("a").alias("b"), F.col("to").alias("near"))
-        least = edges.join(known, "b").groupBy("a").agg(F.min("near").alias("near"))
-        stepped = labels.join(least, "a").select("a", F.least("to", "near").alias("new"), "to")
+        least = edges.join(known.hint("merge"), "b").groupBy("a").agg(F.min("near").alias("near"))
+        stepped = labels.join(least.hint("merge"), "a").select("a", F.least("to", "near").alias("new"), "to")
         jump = labels.select(F.col("a").alias("new"), F.col("to").alias("jump"))
-        stepped = stepped.join(jump, "new", "left").select("a", F.least("new", F.coalesce("jump", "new")).alias("to"), (F.least("new", F.coalesce("jump", "new")) < F.col("to")).alias("moved"))
+        stepped = stepped.join(jump.hint("merge"), "new", "left").select("a", F.least("new", F.coalesce("jump", "new")).alias("to"), (F.least("new", F.coalesce("jump", "new")) < F.col("to")).alias("moved"))
         stepped = checkpointed(stepped)
         labels = stepped.select("a", "to")
         if not stepped.where("moved").head(1):
             break
-    out = components.join(labels.withColumnRenamed("a", "comp"), "comp", "left")
+    out = components.join(labels.withColumnRenamed("a", "comp").hint("merge"), "comp", "left")
     return out.select("id", F.coalesce("to", "comp").alias("comp"))
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b) with 100 * intersection >= percent * union, on the full sets."""
     side = lambda name: sets.select(F.col("id").alias(name), F.col("shingles").alias(f"s_{name}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    both = pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b")
     common = F.size(F.array_intersect("s_a", "s_b"))
     return both.where(100 * common >= percent * (F.size("s_a") + F.size("s_b") - common)).select("a", "b")
 
@@ -181,24 +182,24 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataF
     components = checkpointed(merged(components, links.union(ties)))
 
     share = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    for r in range(1, 64):
-        placed = members.join(components, "id")
+    for r in range(1, 21):
+        placed = members.join(components.hint("merge"), "id")
         spans = placed.groupBy("band", "key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("band", "key")
-        live = checkpointed(placed.join(spans, ["band", "key"]).select("band", "key", "m", "id", "n_shingles", "comp"))
+        live = checkpointed(placed.join(spans.hint("merge"), ["band", "key"]).select("band", "key", "m", "id", "n_shingles", "comp"))
         biggest = live.agg(F.max("m")).first()[0]
         if biggest is None:
             break
-        probes = live.where((F.col("m") <= SMALL_BUCKET) | (share * F.col("m") < F.lit(float(1 << r))))
+        probes = live.where((F.col("m") <= SMALL_BUCKET) | (share * F.col("m") < F.lit(float(1 << 3 * r))))
         probes = probes.select("band", "key", F.col("id").alias("p"), F.col("n_shingles").alias("n_p"), F.col("comp").alias("c_p"))
-        met = live.join(probes, ["band", "key"]).where(F.col("comp") != F.col("c_p"))
+        met = live.join(probes.hint("merge"), ["band", "key"]).where(F.col("comp") != F.col("c_p"))
         met = met.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b"), F.when(F.col("id") < F.col("p"), F.col("n_shingles")).otherwise(F.col("n_p")).alias("n_a"), F.when(F.col("id") < F.col("p"), F.col("n_p")).otherwise(F.col("n_shingles")).alias("n_b"))
-        fresh = checkpointed(_fitting(met, percent).join(tested, ["a", "b"], "left_anti"))
-        last = (1 << r) >= biggest or biggest <= SMALL_BUCKET
+        fresh = checkpointed(_fitting(met, percent).join(tested.hint("merge"), ["a", "b"], "left_anti"))
+        last = (1 << 3 * r) >= biggest or biggest <= SMALL_BUCKET
         links = checkpointed(_similar(fresh, sets, percent)) if fresh.head(1) else None
         if links is not None and links.head(1):
             named = components.withColumnRenamed("id", "a").withColumnRenamed("comp", "x")
             other = components.withColumnRenamed("id", "b").withColumnRenamed("comp", "y")
-            across = links.join(named, "a").join(other, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+            across = links.join(named.hint("merge"), "a").join(other.hint("merge"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
             components = checkpointed(merged(components, across))
         if last:  # every member of a live bucket has been a probe
             break
