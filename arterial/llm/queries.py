@@ -13,6 +13,7 @@ from arterial.llm.pieces import encode_checked
 from arterial.llm.rules import apply_rules, fit_quality_rules
 from arterial.llm.secretscan import scan_secrets
 from arterial.llm.sharding import histogram_shards
+from arterial.llm.toxicity import fit_toxicity, score_toxicity
 
 #: The public vocabulary that op6 and the pipeline encode with.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -24,6 +25,14 @@ def op3_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(docs, fit_quality_rules(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels outside the held-out fifth."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of near-duplicate texts of every document; its smallest id is kept."""
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
@@ -60,6 +69,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_rules": op3_rules,
+    "op4_toxicity": op4_toxicity,
     "op5_neardup": op5_neardup,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_secrets": op7_secrets,
