@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from arterial.llm.common import table
 from arterial.llm.covertree import TOP_K_SQL, top_k_products
 from arterial.llm.mixing import mix_to_targets
+from arterial.llm.mixlm import mix_scores
 from arterial.llm.neardup import near_duplicates
 from arterial.llm.pieces import encode_checked
 from arterial.llm.rules import apply_rules, fit_quality_rules
@@ -19,6 +20,11 @@ from arterial.llm.toxicity import fit_toxicity, score_toxicity
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
 
+def op2_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram base and mixing-model log probabilities of every document."""
+    return mix_scores(table(spark, sf_dir, "documents"))
+
+
 def op3_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base statistics of every document and the verdict of the learned rules."""
     docs = table(spark, sf_dir, "documents")
@@ -68,6 +74,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_lmscore": op2_lmscore,
     "op3_rules": op3_rules,
     "op4_toxicity": op4_toxicity,
     "op5_neardup": op5_neardup,
