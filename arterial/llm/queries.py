@@ -14,12 +14,18 @@ from arterial.llm.pieces import encode_checked
 from arterial.llm.rules import apply_rules, fit_quality_rules
 from arterial.llm.secretscan import scan_secrets
 from arterial.llm.sharding import histogram_shards
+from arterial.llm.surrogates import replace_entities
 from arterial.llm.toxicity import fit_toxicity, score_toxicity
 
 #: The public vocabulary that op6 and the pipeline encode with.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
 
+def op1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data replaced by surrogates."""
+    return replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unigram base and mixing-model log probabilities of every document."""
     return mix_scores(table(spark, sf_dir, "documents"))
@@ -74,6 +80,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_surrogates": op1_surrogates,
     "op2_lmscore": op2_lmscore,
     "op3_rules": op3_rules,
     "op4_toxicity": op4_toxicity,
