@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from arterial.llm.rules import labelled_sample
 
 #: Labelled rows that the machine is trained on, about.
-SAMPLE_ROWS = 6_000
+SAMPLE_ROWS = 4_000
 TOXIC_LANDMARKS, CLEAN_LANDMARKS = 160, 64
 DECAY = 0.7
 #: Characters are told apart in so many classes.
@@ -135,8 +135,8 @@ def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
     dense = np.zeros((len(used), len(landmarks)))
     np.add.at(dense, (at[c], r), v)
     out = np.zeros((len(words), len(landmarks)))
-    for lo in range(0, len(words), 1000):
-        wr, wc, wv = feature_rows(words[lo : lo + 1000])
+    for lo in range(0, len(words), 100):
+        wr, wc, wv = feature_rows(words[lo : lo + 100])
         hit = np.flatnonzero(at[wc] >= 0)
         hit = hit[np.argsort(wr[hit], kind="stable")]
         if len(hit):
@@ -172,8 +172,8 @@ class Machine:
         for n, at in _by_length(parts).items():
             if n < 3:
                 continue
-            for lo in range(0, len(at), 1 + 400_000 // len(_triples(n)[0])):
-                some = at[lo : lo + 1 + 400_000 // len(_triples(n)[0])]
+            for lo in range(0, len(at), 1 + 150_000 // len(_triples(n)[0])):
+                some = at[lo : lo + 1 + 150_000 // len(_triples(n)[0])]
                 c, w = triple_codes(np.stack([char_classes(parts[k]) for k in some]))
                 got[some] += (self.triples[c] * w).sum(1) / norms(c, w)
         out = np.full(len(words), -np.inf)
