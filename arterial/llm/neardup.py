@@ -9,12 +9,17 @@ a band. With 28 bands of 6, a pair at similarity 0.85 shares no band once in 600
 Links: documents with equal sets are one class from the start. Documents that share a
 band form a bucket. Rather than list the pairs of a bucket, rounds link across components:
 
-* First every document is compared with one partner, the member of highest priority in
-  all of its buckets; links that hold on the full sets join components.
+* First every document is compared with one partner, the member of all of its buckets
+  that shares most bands with others; links that hold on the full sets join components.
 * Then, in round r, a bucket that still spans components compares about 8**r of its
   members (all, in small ones) with its members in other components. Pairs once compared
   aren't compared again. The work ends when no bucket spans components with pairs left.
 
+Before a pair of a later round is listed, its intersection is bounded from above: hashes
+are dealt to ``CELLS`` cells, and two sets have no more in common than the smaller count
+of each cell. For two copies of one text, each changed elsewhere, the bound is within a
+hash or two of the truth, so copies that aren't linked are told apart without listing.
+
 So a large group of copies costs a comparison or two for each document, and no pair that
 shares a band and could join two components goes unchecked.
 """
@@ -26,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arterial.llm.common import checkpointed
@@ -35,6 +40,8 @@ PERMUTATIONS, ROWS = 84, 6
 BANDS = 2 * PERMUTATIONS // ROWS
 #: Buckets of this many documents or fewer compare all pairs across components at once.
 SMALL_BUCKET = 24
+#: Cells of the counts that bound an intersection.
+CELLS = 256
 #: Word hashes that a task keeps.
 KEPT_WORDS = 400_000
 
@@ -106,7 +113,9 @@ def _signatures(width: int):
 def _sets(width: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield pd.DataFrame({"id": f["doc_id"], "shingles": [shingle_hashes(t, width).view(np.int64) for t in f["text"]]})
+            sets = [shingle_hashes(t, width) for t in f["text"]]
+            cells = [np.minimum(np.bincount((s >> np.uint64(17)).astype(np.int64) % CELLS, minlength=CELLS), 32767).astype(np.int16) if len(s) <= 32767 else None for s in sets]
+            yield pd.DataFrame({"id": f["doc_id"], "shingles": [s.view(np.int64) for s in sets], "cells": cells})
 
     return run
 
@@ -169,11 +178,14 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataF
     crowded = banded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     members = checkpointed(banded.join(crowded, ["band", "key"]).select("band", "key", "m", "id", "n_shingles"))
     ids = checkpointed(members.select("id").distinct())
-    sets = checkpointed(texts.join(ids, F.col("doc_id") == F.col("id"), "left_semi").mapInPandas(_sets(width), "id long, shingles array<long>").dropDuplicates(["id", "shingles"]))
+    sets = checkpointed(texts.join(ids, F.col("doc_id") == F.col("id"), "left_semi").mapInPandas(_sets(width), "id long, shingles array<long>, cells array<short>").dropDuplicates(["id", "shingles"]))
 
     components = ids.select("id", F.col("id").alias("comp"))
-    # Priority: a hash of the id, so that members of one group agree on whom they meet first.
-    rank = F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("id"), F.col("n_shingles").alias("n"))
+    # Priority: members whose bands are shared most, so that members of one group agree on
+    # whom they meet first, and that is one close to most.
+    degree = members.groupBy("id").agg(F.sum("m").alias("degree"))
+    members = checkpointed(members.join(degree.hint("merge"), "id"))
+    rank = F.struct((-F.col("degree")).alias("d"), F.xxhash64("id").alias("h"), F.col("id").alias("id"), F.col("n_shingles").alias("n"))
     heads = members.groupBy("band", "key").agg(F.min(rank).alias("head"))
     first = members.join(heads, ["band", "key"]).where(F.col("id") != F.col("head.id")).groupBy("id", "n_shingles").agg(F.min("head").alias("head"))
     pairs = _fitting(first.select(F.col("id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("head.id").alias("b"), F.col("head.n").alias("n_b")), percent)
@@ -181,17 +193,20 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataF
     links = checkpointed(_similar(tested, sets, percent))
     components = checkpointed(merged(components, links.union(ties)))
 
+    # Ids of several sets have no cells of their own: they are bounded by sizes alone.
+    cells = checkpointed(sets.groupBy("id").agg(F.when(F.count(F.lit(1)) == 1, F.min("cells")).alias("cells")))
     share = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     for r in range(1, 21):
         placed = members.join(components.hint("merge"), "id")
         spans = placed.groupBy("band", "key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("band", "key")
-        live = checkpointed(placed.join(spans.hint("merge"), ["band", "key"]).select("band", "key", "m", "id", "n_shingles", "comp"))
+        live = placed.join(spans.hint("merge"), ["band", "key"]).select("band", "key", "m", "id", "n_shingles", "comp")
+        live = checkpointed(live.join(cells.hint("merge"), "id"))
         biggest = live.agg(F.max("m")).first()[0]
         if biggest is None:
             break
         probes = live.where((F.col("m") <= SMALL_BUCKET) | (share * F.col("m") < F.lit(float(1 << 3 * r))))
-        probes = probes.select("band", "key", F.col("id").alias("p"), F.col("n_shingles").alias("n_p"), F.col("comp").alias("c_p"))
-        met = live.join(probes.hint("merge"), ["band", "key"]).where(F.col("comp") != F.col("c_p"))
+        probes = probes.select("band", "key", F.col("id").alias("p"), F.col("n_shingles").alias("n_p"), F.col("comp").alias("c_p"), F.col("cells").alias("cells_p"))
+        met = live.join(probes.hint("merge"), ["band", "key"]).where((F.col("comp") != F.col("c_p")) & _may_link(percent))
         met = met.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b"), F.when(F.col("id") < F.col("p"), F.col("n_shingles")).otherwise(F.col("n_p")).alias("n_a"), F.when(F.col("id") < F.col("p"), F.col("n_p")).otherwise(F.col("n_shingles")).alias("n_b"))
         fresh = checkpointed(_fitting(met, percent).join(tested.hint("merge"), ["a", "b"], "left_anti"))
         last = (1 << 3 * r) >= biggest or biggest <= SMALL_BUCKET
@@ -210,6 +225,14 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataF
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _may_link(percent: int) -> Column:
+    """Whether the cells of (cells, n_shingles) and (cells_p, n_p) allow the similarity."""
+    least = F.zip_with("cells", "cells_p", lambda x, y: F.least(x, y))
+    most = F.aggregate(least, F.lit(0), lambda total, v: total + v)
+    most = F.coalesce(most, F.least("n_shingles", "n_p").cast("int"))
+    return 100 * most >= percent * (F.col("n_shingles") + F.col("n_p") - most)
+
+
 def _fitting(pairs: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs (a < b) whose set sizes allow the similarity."""
     sized = pairs.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
