@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,3 +29,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """df, computed once and written to the shared checkpoint folder."""
     with_checkpoints(df.sparkSession)
     return df.checkpoint()
+
+
+def let_go(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle and checkpoint files of tables that are no longer used.
+    It does so when the driver's garbage is collected, which a loop can't wait for."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arterial.llm.common import checkpointed
+from arterial.llm.common import checkpointed, let_go
 
 PERMUTATIONS, ROWS = 84, 6
 BANDS = 2 * PERMUTATIONS // ROWS
@@ -132,6 +132,7 @@ def merged(components: DataFrame, links: DataFrame) -> DataFrame:
     labels = edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("to"))
     labels = checkpointed(labels)
     while True:
+        let_go(components.sparkSession)
         known = labels.select(F.col("a").alias("b"), F.col("to").alias("near"))
         least = edges.join(known.hint("merge"), "b").groupBy("a").agg(F.min("near").alias("near"))
         stepped = labels.join(least.hint("merge"), "a").select("a", F.least("to", "near").alias("new"), "to")
@@ -197,6 +198,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataF
     cells = checkpointed(sets.groupBy("id").agg(F.when(F.count(F.lit(1)) == 1, F.min("cells")).alias("cells")))
     share = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     for r in range(1, 21):
+        let_go(docs.sparkSession)
         placed = members.join(components.hint("merge"), "id")
         spans = placed.groupBy("band", "key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("band", "key")
         live = placed.join(spans.hint("merge"), ["band", "key"]).select("band", "key", "m", "id", "n_shingles", "comp")
@@ -208,6 +210,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataF
         probes = probes.select("band", "key", F.col("id").alias("p"), F.col("n_shingles").alias("n_p"), F.col("comp").alias("c_p"), F.col("cells").alias("cells_p"))
         met = live.join(probes.hint("merge"), ["band", "key"]).where((F.col("comp") != F.col("c_p")) & _may_link(percent))
         met = met.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b"), F.when(F.col("id") < F.col("p"), F.col("n_shingles")).otherwise(F.col("n_p")).alias("n_a"), F.when(F.col("id") < F.col("p"), F.col("n_p")).otherwise(F.col("n_shingles")).alias("n_b"))
+        let_go(docs.sparkSession)
         fresh = checkpointed(_fitting(met, percent).join(tested.hint("merge"), ["a", "b"], "left_anti"))
         last = (1 << 3 * r) >= biggest or biggest <= SMALL_BUCKET
         links = checkpointed(_similar(fresh, sets, percent)) if fresh.head(1) else None
