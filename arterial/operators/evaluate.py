@@ -65,8 +65,10 @@ def grid_density(roads: DataFrame, bounds: DataFrame, rows: int = 10, cols: int
 
     Segments that are the same count once; lines that overlap in part count each."""
     s = roads.select(F.explode(G.segments_of("points")).alias("s")).select("s.*")
-    s = s.select(F.least(F.struct("ax", "ay"), F.struct("bx", "by")).alias("a"), F.greatest(F.struct(F.col("ax").alias("ax"), F.col("ay").alias("ay")), F.struct(F.col("bx").alias("ax"), F.col("by").alias("ay"))).alias("b")).distinct()
-    s = s.select(F.col("a.ax").alias("ax"), F.col("a.ay").alias("ay"), F.col("b.ax").alias("bx"), F.col("b.ay").alias("by"))
+    # A segment and its reverse are one: the smaller end comes first.
+    one, two = F.struct(F.col("ax").alias("x"), F.col("ay").alias("y")), F.struct(F.col("bx").alias("x"), F.col("by").alias("y"))
+    s = s.select(F.least(one, two).alias("a"), F.greatest(one, two).alias("b")).distinct()
+    s = s.select(F.col("a.x").alias("ax"), F.col("a.y").alias("ay"), F.col("b.x").alias("bx"), F.col("b.y").alias("by"))
     s = s.crossJoin(F.broadcast(bounds))
     dx, dy = (F.col("maxx") - F.col("minx")) / cols, (F.col("maxy") - F.col("miny")) / rows
     # One cell more on either side than the bounds touch, for lines along an edge.
