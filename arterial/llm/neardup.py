@@ -223,7 +223,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataF
             break
         tested = tested.union(fresh)
     found = rows.join(components.select("id", "comp"), "id", "left")
-    component = F.coalesce("comp", "id", "doc_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "id", "doc_id"))
     out = found.select("doc_id", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 

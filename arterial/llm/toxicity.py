@@ -47,7 +47,7 @@ WINDOW, STRIDE = 20, 10
 KEPT_WORDS = 400_000
 #: What the triples may span, weights beyond are under 0.06.
 _EDGE = b".,!?;:\"'()[]{}|*#$%&<>-_/"
-_SPACED = re.compile(r"(?<!\S)(?:\S[ ]){2,}\S(?!\S)")
+_SPACED = re.compile(r"(?<!\S)(?:\S[ ]){2,}\w(?!\w)")
 
 
 def char_classes(word: str) -> np.ndarray:
