@@ -8,8 +8,8 @@ written as U+2581 and a text starts with one, as the model's normaliser does. A
 character that no piece covers becomes its UTF-8 bytes, at a score below every piece's.
 
 Segmentation is exact for the whole text, yet done in parts: no piece holds U+2581
-behind another character, so a best path of a text is the best paths of its stretches
-(blanks and the characters up to the next blank) end to end. Stretches repeat, so each
+behind another character or a line's end, so a best path of a text is the best paths of its
+stretches (blanks and the characters up to the next blank or line's end) end to end. Stretches repeat, so each
 task keeps those it has seen in a table of bounded size.
 """
 
@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 
 BLANK = "▁"
 #: Stretches that a task keeps; longer ones than this many characters are never kept.
-KEPT, KEPT_CHARS = 200_000, 40
+KEPT, KEPT_CHARS = 250_000, 40
+#: Texts whose ids are held at a time.
+STEP_ROWS = 200
 #: A byte costs this much more than the worst piece.
 BYTE_PENALTY = 10.0
 
@@ -58,6 +60,21 @@ def load_vocabulary(path: str) -> Vocabulary:
     return Vocabulary(pieces, byte_ids, model.get_piece_size(), text_of)
 
 
+class _Seen(dict):
+    """Ids of stretches as bytes of 32-bit numbers, made when first asked for."""
+
+    def __init__(self, codec: "Codec", prefix: str):
+        self.codec, self.prefix = codec, prefix
+
+    def __missing__(self, word: str) -> bytes:
+        ids = np.array(self.codec.viterbi(self.prefix + word), np.int32).tobytes()
+        if len(word) <= KEPT_CHARS:
+            if len(self) >= KEPT:
+                self.clear()
+            self[word] = ids
+        return ids
+
+
 class Codec:
     """Encodes and decodes texts; one for each Python worker."""
 
@@ -68,10 +85,16 @@ class Codec:
             self.automaton.add_word(piece, (len(piece), score, i))
         if vocabulary.pieces:
             self.automaton.make_automaton()
-        self.parted = all(BLANK not in p.lstrip(BLANK) for p, _, _ in vocabulary.pieces)
+        self.parted = all(BLANK not in p.lstrip(BLANK) and "\n" not in p for p, _, _ in vocabulary.pieces)
         self.byte_score = min((s for _, _, s in vocabulary.pieces), default=0.0) - BYTE_PENALTY
         self.byte_of = {i: b for b, i in enumerate(vocabulary.byte_ids)}
-        self.seen: dict[str, tuple[int, ...]] = {}
+        self.is_byte = np.zeros(vocabulary.size, bool)
+        self.is_byte[vocabulary.byte_ids] = True
+        self.is_high = np.zeros(vocabulary.size, bool)  # bytes that are parts of characters
+        self.is_high[vocabulary.byte_ids[128:]] = True
+        self.text_of = {i: t.replace(BLANK, " ") for i, t in vocabulary.text_of.items()} | {i: chr(b) for b, i in enumerate(vocabulary.byte_ids[:128])}
+        # Stretches that start with one blank, and those behind a line's end, which start with none.
+        self.marked, self.bare = _Seen(self, BLANK), _Seen(self, "")
 
     def _bytes(self, text: str) -> tuple[int, ...]:
         return tuple(self.v.byte_ids[b] for b in text.encode())
@@ -82,12 +105,13 @@ class Codec:
         best = [float("-inf")] * (n + 1)
         length, piece = [1] * (n + 1), [-1] * (n + 1)
         best[0], at = 0.0, 0
-        matches = self.automaton.iter(text) if self.v.pieces else ()
+        matches = self.automaton.iter(text) if self.v.pieces and n else ()
         for end, (size, score, i) in matches:
             end += 1
             while at < end:  # every position can be reached by the bytes of one character
+                c = text[at]
                 at += 1
-                best[at] = best[at - 1] + self.byte_score * len(text[at - 1].encode())
+                best[at] = best[at - 1] + (self.byte_score if c < "\x80" else self.byte_score * len(c.encode()))
             s = best[end - size] + score
             if s > best[end] or s == best[end] and size > length[end]:
                 best[end], length[end], piece[end] = s, size, i
@@ -99,56 +123,65 @@ class Codec:
             n -= length[n] if i >= 0 else 1
         return tuple(x for part in reversed(out) for x in part)
 
-    def _stretch(self, stretch: str) -> tuple[int, ...]:
-        ids = self.seen.get(stretch)
-        if ids is None:
-            ids = self.viterbi(stretch)
-            if len(stretch) <= KEPT_CHARS:
-                if len(self.seen) >= KEPT:
-                    self.seen.clear()
-                self.seen[stretch] = ids
-        return ids
-
-    def encode(self, text: str) -> list[int]:
+    def _line(self, line: str, first: bool) -> bytes:
+        """A stretch of a text without line ends or U+2581; the first of a text is marked."""
+        words = line.split(" ")
+        if "" in words[1:] or first and not words[0] and len(words) > 1:
+            return self._runs(line, first)
+        lead = self.marked[words[0]] if first else self.bare[words[0]] if words[0] else b""
+        return lead + b"".join(map(self.marked.__getitem__, words[1:]))
+
+    def _runs(self, line: str, first: bool) -> bytes:
+        """The same for lines with runs of blanks: a run belongs to the word behind it."""
+        words = ((" " if first else "") + line).split(" ")
+        out, run = [self.bare[words[0]] if words[0] else b""], 0
+        for at, w in enumerate(words[1:], 1):
+            run += 1
+            if w or at == len(words) - 1:
+                out.append(self.bare[BLANK * run + w])
+                run = 0
+        return b"".join(out)
+
+    def encode_array(self, text: str) -> np.ndarray:
         """The ids of a text; none for the empty one."""
         if not text:
-            return []
-        out: list[int] = []
+            return np.zeros(0, np.int32)
+        out: list[bytes] = []
         # A literal U+2581 would read back as a blank, so it goes as bytes.
         for k, part in enumerate(text.split(BLANK)):
             if k:
-                out += self._bytes(BLANK)
-            if not part and k:
-                continue
-            marked = (BLANK if k == 0 else "") + part.replace(" ", BLANK)
+                out.append(np.array(self._bytes(BLANK), np.int32).tobytes())
             if not self.parted:
-                out += self.viterbi(marked)
+                out.append(np.array(self.viterbi((BLANK if k == 0 else "") + part.replace(" ", BLANK)), np.int32).tobytes())
                 continue
-            # Stretches: blanks, then what follows up to the next blank.
-            words = marked.split(BLANK)
-            lead = words[0]
-            if lead:
-                out += self._stretch(lead)
-            run = 0
-            last = len(words) - 1
-            for at, w in enumerate(words[1:], 1):
-                run += 1
-                if w or at == last:
-                    out += self._stretch(BLANK * run + w)
-                    run = 0
-        return out
-
-    def decode(self, ids: list[int]) -> str:
+            # No piece crosses a line's end, which is a byte itself.
+            for j, line in enumerate(part.split("\n")):
+                if j:
+                    out.append(self.bare["\n"])
+                if line or not (j or k):
+                    out.append(self._line(line, not (j or k)))
+        return np.frombuffer(b"".join(out), np.int32)
+
+    def encode(self, text: str) -> list[int]:
+        return self.encode_array(text).tolist()
+
+    def decode(self, ids) -> str:
         """The text of ids that ``encode`` gave."""
+        ids = np.asarray(ids, np.int64)
+        if not len(ids):
+            return ""
+        if not self.is_high[ids].any():
+            text = "".join(map(self.text_of.__getitem__, ids.tolist()))
+            return text[1:] if text.startswith(" ") else text
         out, pending = [], bytearray()
-        for i in ids:
+        for i in ids.tolist():
             if i in self.byte_of:
                 pending.append(self.byte_of[i])
                 continue
             if pending:
                 out.append(pending.decode(errors="replace"))
                 pending.clear()
-            out.append(self.v.text_of.get(i, "").replace(BLANK, " "))
+            out.append(self.text_of.get(i, ""))
         if pending:
             out.append(pending.decode(errors="replace"))
         text = "".join(out)
@@ -192,14 +225,16 @@ def _encode(docs: DataFrame, model: str, text_col: str, check: bool) -> DataFram
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codec = _worker_codec(key, vocabulary)
-        for f in frames:
-            ids = [None if t is None else codec.encode(t) for t in f[text_col]]
-            f["n_pieces"] = [len(i or ()) for i in ids]
-            f["n_byte_pieces"] = [sum(x in codec.byte_of for x in i or ()) for i in ids]
-            if check:
-                f["exact"] = [t is None or codec.decode(i) == t for t, i in zip(f[text_col], ids, strict=True)]
-            f["ids"] = [None if i is None else np.array(i, np.int32) for i in ids]
-            yield f
+        for whole in frames:
+            for lo in range(0, len(whole), STEP_ROWS):  # ids of few texts at a time
+                f = whole.iloc[lo : lo + STEP_ROWS].copy()
+                ids = [None if t is None else codec.encode_array(t) for t in f[text_col]]
+                f["ids"] = ids
+                f["n_pieces"] = [0 if i is None else len(i) for i in ids]
+                f["n_byte_pieces"] = [0 if i is None else int(codec.is_byte[i].sum()) for i in ids]
+                if check:
+                    f["exact"] = [t is None or codec.decode(i) == t for t, i in zip(f[text_col], ids, strict=True)]
+                yield f
 
     return kept.mapInPandas(run, schema)
 
@@ -213,7 +248,7 @@ def decode_pieces(encoded: DataFrame, model: str, ids_col: str = "ids", text_col
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codec = _worker_codec(key, vocabulary)
         for f in frames:
-            yield f.assign(**{text_col: [None if i is None else codec.decode([int(x) for x in i]) for i in f[ids_col]]})
+            yield f.assign(**{text_col: [None if i is None else codec.decode(i) for i in f[ids_col]]})
 
     return kept.mapInPandas(run, schema)
 
