@@ -9,7 +9,7 @@ from arterial.llm.common import table
 from arterial.llm.covertree import TOP_K_SQL, top_k_products
 from arterial.llm.mixing import mix_to_targets
 from arterial.llm.mixlm import mix_scores
-from arterial.llm.neardup import near_duplicates
+from arterial.llm.neardup import NEAR_SQL, near_duplicates
 from arterial.llm.pieces import encode_checked
 from arterial.llm.rules import apply_rules, fit_quality_rules
 from arterial.llm.secretscan import scan_secrets
@@ -94,4 +94,4 @@ QUERIES = {
 
 #: The other methods can't be expressed in SQL (hashes, learned models, automata);
 #: tests/llm holds each against a brute-force version instead.
-ORACLES = {"op10_topk": TOP_K_SQL}
+ORACLES = {"op5_neardup": NEAR_SQL, "op10_topk": TOP_K_SQL}
