@@ -16,6 +16,7 @@ task keeps those it has seen in a table of bounded size.
 from __future__ import annotations
 
 import uuid
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -27,11 +28,12 @@ from pyspark.sql import functions as F
 
 BLANK = "▁"
 #: Stretches that a task keeps; longer ones than this many characters are never kept.
-KEPT, KEPT_CHARS = 250_000, 40
+KEPT, KEPT_CHARS = 400_000, 40
 #: Texts whose ids are held at a time.
 STEP_ROWS = 200
 #: A byte costs this much more than the worst piece.
 BYTE_PENALTY = 10.0
+_NEVER = float("-inf")
 
 
 @dataclass
@@ -67,7 +69,7 @@ class _Seen(dict):
         self.codec, self.prefix = codec, prefix
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.codec.viterbi(self.prefix + word), np.int32).tobytes()
+        ids = array("i", self.codec.viterbi(self.prefix + word)).tobytes()
         if len(word) <= KEPT_CHARS:
             if len(self) >= KEPT:
                 self.clear()
@@ -99,29 +101,49 @@ class Codec:
     def _bytes(self, text: str) -> tuple[int, ...]:
         return tuple(self.v.byte_ids[b] for b in text.encode())
 
-    def viterbi(self, text: str) -> tuple[int, ...]:
+    def viterbi(self, text: str) -> list[int]:
         """The ids of the best segmentation. Equal scores go to the longer last piece."""
-        n = len(text)
-        best = [float("-inf")] * (n + 1)
-        length, piece = [1] * (n + 1), [-1] * (n + 1)
-        best[0], at = 0.0, 0
-        matches = self.automaton.iter(text) if self.v.pieces and n else ()
-        for end, (size, score, i) in matches:
-            end += 1
-            while at < end:  # every position can be reached by the bytes of one character
-                c = text[at]
-                at += 1
-                best[at] = best[at - 1] + (self.byte_score if c < "\x80" else self.byte_score * len(c.encode()))
-            s = best[end - size] + score
-            if s > best[end] or s == best[end] and size > length[end]:
-                best[end], length[end], piece[end] = s, size, i
-        # Behind the last match only bytes go on, and they are what ``piece`` says by default.
-        out: list[tuple[int, ...]] = []
+        best: list[float] = [0.0]  # by place; ``back`` has the piece that leads there, None for bytes
+        back: list[tuple | None] = [None]
+        at, top, last, led = 0, 0.0, None, None
+        # Matches come by end, the longest first. What ends at one place is gathered before
+        # it is stored; where no piece of a single character ends, its bytes may be better.
+        for end, match in self.automaton.iter(text) if self.v.pieces and text else ():
+            if end >= at:
+                if last is not None:
+                    self._settle(text, best, back, top, led, last[0] == 1)
+                while len(best) <= end:
+                    self._settle(text, best, back, _NEVER, None, False)
+                at, top = end + 1, _NEVER
+            last = match
+            s = best[at - match[0]] + match[1]
+            if s > top:
+                top, led = s, match
+        if last is not None:
+            self._settle(text, best, back, top, led, last[0] == 1)
+        # Behind the last match only bytes go on.
+        n, out = len(text), []
         while n:
-            i = piece[n]
-            out.append((i,) if i >= 0 else self._bytes(text[n - 1].replace(BLANK, " ")))
-            n -= length[n] if i >= 0 else 1
-        return tuple(x for part in reversed(out) for x in part)
+            match = back[n] if n < len(back) else None
+            if match is not None:
+                out.append(match[2])
+                n -= match[0]
+            else:
+                out += reversed(self._bytes(text[n - 1].replace(BLANK, " ")))
+                n -= 1
+        out.reverse()
+        return out
+
+    def _settle(self, text: str, best: list, back: list, top: float, led: tuple | None, single: bool) -> None:
+        """Store the best way to the next place; unless a single character's piece ends there,
+        the bytes of the character before it compete."""
+        if not single:
+            at = len(best)
+            s = best[-1] + self.byte_score * len(text[at - 1].encode())
+            if s > top:
+                top, led = s, None
+        best.append(top)
+        back.append(led)
 
     def _line(self, line: str, first: bool) -> bytes:
         """A stretch of a text without line ends or U+2581; the first of a text is marked."""
