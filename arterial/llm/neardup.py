@@ -42,8 +42,8 @@ BANDS = 2 * PERMUTATIONS // ROWS
 SMALL_BUCKET = 24
 #: Cells of the counts that bound an intersection.
 CELLS = 256
-#: Word hashes that a task keeps.
-KEPT_WORDS = 400_000
+#: Word hashes that a task keeps, and texts that it works on at a time.
+KEPT_WORDS, STEP_ROWS = 150_000, 500
 
 _rng = np.random.default_rng(20240229)
 _odd = lambda n: (_rng.integers(0, 1 << 63, n, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -106,16 +106,18 @@ def _signatures(width: int):
             out = pd.DataFrame(rows, columns=["n_shingles", "__x", "__s", "__bands"])
             out.insert(0, "doc_id", f["doc_id"].to_numpy())
             yield out
+        _words.clear()  # the worker lives on
 
     return run
 
 
 def _sets(width: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
+        for f in (g.iloc[lo : lo + STEP_ROWS] for g in frames for lo in range(0, len(g), STEP_ROWS)):
             sets = [shingle_hashes(t, width) for t in f["text"]]
             cells = [np.minimum(np.bincount((s >> np.uint64(17)).astype(np.int64) % CELLS, minlength=CELLS), 32767).astype(np.int16) if len(s) <= 32767 else None for s in sets]
             yield pd.DataFrame({"id": f["doc_id"], "shingles": [s.view(np.int64) for s in sets], "cells": cells})
+        _words.clear()
 
     return run
 

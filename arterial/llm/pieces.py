@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 BLANK = "▁"
 #: Stretches that a task keeps; longer ones than this many characters are never kept.
-KEPT, KEPT_CHARS = 400_000, 40
+KEPT, KEPT_CHARS = 200_000, 40
 #: Texts whose ids are held at a time.
 STEP_ROWS = 200
 #: A byte costs this much more than the worst piece.
@@ -257,6 +257,8 @@ def _encode(docs: DataFrame, model: str, text_col: str, check: bool) -> DataFram
                 if check:
                     f["exact"] = [t is None or codec.decode(i) == t for t, i in zip(f[text_col], ids, strict=True)]
                 yield f
+        codec.marked.clear()  # the worker lives on
+        codec.bare.clear()
 
     return kept.mapInPandas(run, schema)
 

@@ -44,7 +44,7 @@ CLASSES = 40
 SURPRISE = 14.0
 #: Longer words are read in overlapping windows.
 WINDOW, STRIDE = 20, 10
-KEPT_WORDS = 400_000
+KEPT_WORDS = 150_000
 #: What the triples may span, weights beyond are under 0.06.
 _EDGE = b".,!?;:\"'()[]{}|*#$%&<>-_/"
 _SPACED = re.compile(r"(?<!\S)(?:\S[ ]){2,}\w(?!\w)")
