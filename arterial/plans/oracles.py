@@ -172,7 +172,7 @@ SELECT round(a, 6) AS a, round(b, 6) AS b, round(r2_log, 6) AS r2_log, round(1 -
     "parse_props_json": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events",
     "max_score_per_road": "SELECT label AS fid, round(max(1 / (1 + exp(-CAST(embedding[1] AS DOUBLE)))), 6) AS score FROM embeddings GROUP BY label",
     "sage_mean_layer": f"WITH {NODES}, {EDGES} SELECT n.id, round(coalesce(m.a, 0), 9) AS mean_length, round(coalesce(m.b, 0), 9) AS mean_fclass FROM nodes n LEFT JOIN (SELECT dst, avg(length) AS a, avg(fclass) AS b FROM edges JOIN nodes ON id = src GROUP BY dst) m ON m.dst = n.id",
-    "sage_layer": f"WITH {NODES}, {EDGES}, f AS (SELECT n.id, n.length / 1000 AS x, n.fclass / 50 AS y, coalesce(a, 0) AS mx, coalesce(b, 0) AS my FROM nodes n LEFT JOIN (SELECT dst, avg(length / 1000) AS a, avg(fclass / 50) AS b FROM edges JOIN nodes ON id = src GROUP BY dst) g ON g.dst = n.id) SELECT id, round(greatest(0, 0.5 * x - 0.25 * y + 0.1 * mx + 0.3 * my + CAST(1 AS DOUBLE) / 30), 6) AS h0, round(greatest(0, -0.2 * x + 0.4 * y + 0.6 * mx - 0.1 * my - CAST(1 AS DOUBLE) / 15), 6) AS h1 FROM f",
+    "sage_layer": f"WITH {NODES}, {EDGES}, f AS (SELECT n.id, n.length / 1000 AS x, n.fclass / 50 AS y, coalesce(a, 0) AS mx, coalesce(b, 0) AS my FROM nodes n LEFT JOIN (SELECT dst, avg(length / 1000) AS a, avg(fclass / 50) AS b FROM edges JOIN nodes ON id = src GROUP BY dst) g ON g.dst = n.id) SELECT id, round(greatest(0, 0.5 * x - 0.25 * y + 0.1 * mx + 0.3 * my + CAST('0.0314159265358979' AS DOUBLE)), 6) AS h0, round(greatest(0, -0.2 * x + 0.4 * y + 0.6 * mx - 0.1 * my - CAST('0.0271828182845905' AS DOUBLE)), 6) AS h1 FROM f",
     "train_split": "WITH h AS (SELECT doc_id AS id, row_number() OVER (ORDER BY ((doc_id % 2147483648) * 2654435761) % 4294967296, doc_id) - 1 AS r, count(*) OVER () AS n FROM documents) SELECT id, CASE WHEN r < floor(n * CAST(0.7 AS DOUBLE)) THEN 'train' WHEN r < floor(n * CAST(0.85 AS DOUBLE)) THEN 'val' ELSE 'test' END AS part FROM h",
     "select_ratios": """WITH s AS (SELECT o_orderkey AS id, CAST(round(o_totalprice) AS BIGINT) AS length FROM orders), c AS (SELECT id, length, sum(length) OVER (ORDER BY length DESC, id DESC ROWS UNBOUNDED PRECEDING) AS upto, sum(length) OVER () AS total FROM s)
 SELECT ratio, id, CAST(length AS DOUBLE) AS length FROM c, (SELECT CAST(unnest([0.2, 0.4, 0.6]) AS DOUBLE) AS ratio) WHERE upto - length < ratio * total""",

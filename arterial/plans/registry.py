@@ -150,7 +150,7 @@ def sage_mean_layer(spark, d):
 
 def sage_layer(spark, d):
     x = part_nodes(spark, d).select("id", F.array(F.col("length") / 1000, F.col("fclass") / 50).alias("x"))
-    layer = sage.SageLayer(np.array([[0.5, -0.2], [-0.25, 0.4]]), np.array([[0.1, 0.6], [0.3, -0.1]]), np.array([1 / 30, -1 / 15]))
+    layer = sage.SageLayer(np.array([[0.5, -0.2], [-0.25, 0.4]]), np.array([[0.1, 0.6], [0.3, -0.1]]), np.array([0.0314159265358979, -0.0271828182845905]))
     out = sage.sage_layer(x, _edges(spark, d), layer)
     return out.select("id", F.round(F.col("x")[0], 6).alias("h0"), F.round(F.col("x")[1], 6).alias("h1"))
 
