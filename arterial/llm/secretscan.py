@@ -6,8 +6,9 @@ Base kinds are patterns that stand on their own: ``assign`` (a named assignment)
 Linked kinds are weak alone: ``id`` (an identifier-like name with a value), ``key`` (a
 long value of high entropy) and ``host`` (a database or service address). A text is
 cut into scopes at blank lines; within a scope the intervals of identifiers, keys and
-endpoints are joined when the gap between them is at most ``REACH`` code points. A weak
-candidate is reported only when a part of a complementary role lies within reach: a key
+endpoints are joined when the gap between them is at most ``REACH`` code points, named
+assignments in between not counted, so that the parts of a block of settings belong
+together however long it is. A weak candidate is reported only when a part of a complementary role lies within reach: a key
 needs an identifier or an endpoint, an endpoint or identifier needs a key. Base findings
 play their role too (``access`` as an identifier, ``assign`` and ``hex`` as keys).
 
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 #: Kinds in the order of the digest: base ones first.
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "id", "key", "host")
-#: Code points between the parts of one credential, at most.
+#: Code points between the parts of one credential, at most; assignments don't count.
 REACH = 200
 #: Bits a character that a weak key has at least.
 ENTROPY = 3.5
@@ -40,8 +41,10 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 # A run shorter than 24 fails as a whole, so asking for 24 finds the same runs.
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _ID = re.compile(r"""\b(?:client_?id|account_?id|access_?key_?id|user_?name|user|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,64})""", re.I | re.A)
-_KEY = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,128}={0,2}(?![A-Za-z0-9+/_=-])")
+# An equals sign may stand before a value; behind one it is padding. Possessive: a run is read once.
+_KEY = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}+(?![A-Za-z0-9+/_=-])")
 _HOST = re.compile(r"\b(?:(?:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqps?|ftp)://[^\s\"'<>]+|[a-z0-9-]+(?:\.[a-z0-9-]+)+:\d{2,5}\b)", re.A)
+_SETTING = re.compile(r"""(?<![\w.-])[\w.-]++["']?[\x20\t]*+[:=][\x20\t]*+(?:"[^"\n]*+"|'[^'\n]*+'|[^\s,;&"']++)[\s,;&"'{}\[\]]*+""", re.A)
 _BLANK = re.compile(r"\n[\x20\t\r]*\n")
 
 Span = tuple[str, int, int]
@@ -73,18 +76,33 @@ def _weak_keys(text: str) -> list[Span]:
     return out
 
 
-def _near(spans: list[Span], others: list[Span], scope_of) -> list[Span]:
+class _Counted:
+    """Code points before a place that count as distance: all but those of settings."""
+
+    def __init__(self, text: str):
+        self.starts, self.ends, self.before = [], [], [0]
+        for m in _SETTING.finditer(text):
+            self.starts.append(m.start())
+            self.ends.append(m.end())
+            self.before.append(self.before[-1] + m.end() - m.start())
+
+    def __call__(self, at: int) -> int:
+        k = bisect.bisect_right(self.starts, at)  # settings that start before
+        return at - self.before[k] + (max(0, self.ends[k - 1] - at) if k else 0)
+
+
+def _near(spans: list[Span], others: list[Span], scope_of, counted) -> list[Span]:
     """Those of ``spans`` with one of ``others`` in the same scope within reach."""
     by_scope: dict[int, tuple[list[int], list[int]]] = {}
     for _, s, e in sorted(others, key=lambda x: x[1]):
         starts, ends = by_scope.setdefault(scope_of(s), ([], []))
-        starts.append(s)
-        ends.append(max(e, ends[-1]) if ends else e)  # the farthest end so far
+        starts.append(counted(s))
+        ends.append(max(counted(e), ends[-1]) if ends else counted(e))  # the farthest end so far
     kept = []
     for kind, s, e in spans:
         starts, ends = by_scope.get(scope_of(s), ((), ()))
-        last = bisect.bisect_right(starts, e + REACH) - 1  # of those that start in reach, the farthest end
-        if last >= 0 and ends[last] >= s - REACH:
+        last = bisect.bisect_right(starts, counted(e) + REACH) - 1  # of those that start in reach, the farthest end
+        if last >= 0 and ends[last] >= counted(s) - REACH:
             kept.append((kind, s, e))
     return kept
 
@@ -103,8 +121,9 @@ def linked_spans(text: str, base: list[Span]) -> list[Span]:
     scope_of = lambda at: bisect.bisect_right(cuts, at)
     strong_keys = [b for b in base if b[0] in ("assign", "hex")]
     as_ids = ids + [b for b in base if b[0] == "access"]
-    found = _near(keys, as_ids + hosts, scope_of)
-    found += _near(ids + hosts, keys + strong_keys, scope_of)
+    counted = _Counted(text)
+    found = _near(keys, as_ids + hosts, scope_of, counted)
+    found += _near(ids + hosts, keys + strong_keys, scope_of, counted)
     return in_order(found)
 
 
