@@ -9,7 +9,8 @@ Numbers and addresses go through a keyed permutation of their format: every digi
 a digit, every letter a letter of its case and script, separators stay, octets stay
 octets, and check digits (cards, IBANs) hold where they held before. A permutation maps
 distinct entities of one format to distinct surrogates. Names are made of syllables of
-their script, with an ending by gender; that isn't injective by construction.
+their script, with an ending by gender; that isn't injective by construction. Every
+further attempt has a syllable more, so names never run out of forms.
 
 Checks: the distinct entities of the corpus are resolved together. An entity whose
 surrogate is also that of another (of a smaller form), is an entity of the corpus, or is
@@ -191,13 +192,13 @@ class Maker:
             return f"{canon[:2]}{98 - _mod97(canon[:2] + '00' + body):02d}{body}"
         if kind in ("ssn", "phone"):
             return self._letters(canon, tweak)
-        return self._name(kind, canon, tweak)
+        return self._name(kind, canon, tweak, attempt)
 
-    def _name(self, kind: str, canon: str, tweak: str) -> str:
+    def _name(self, kind: str, canon: str, tweak: str, attempt: int) -> str:
         consonants, vowels, male, female = _SYLLABLES[script_of(canon)]
         x = self._mac(tweak, canon)
         out = ""
-        for _ in range(3 if kind == "family" else 2):
+        for _ in range((3 if kind == "family" else 2) + attempt):
             x, c = divmod(x, len(consonants))
             x, v = divmod(x, len(vowels))
             out += consonants[c] + vowels[v]

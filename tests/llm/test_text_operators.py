@@ -160,6 +160,13 @@ def test_permutation_and_checks(spark):
     assert not {r.surrogate for r in table} & {r.canon for r in table}
 
 
+def test_more_given_names_than_short_forms(spark):
+    """There are 19,600 Latin male forms of two syllables."""
+    entities = spark.range(21_000).selectExpr("'given-m' AS kind", "concat('n', id) AS canon")
+    made = [r.surrogate for r in surrogates.resolve(entities, b"k").collect()]
+    assert len(made) == len(set(made)) == 21_000
+
+
 # -- toxicity -------------------------------------------------------------------------
 
 
