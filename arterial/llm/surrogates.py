@@ -1,7 +1,8 @@
 """PII: keyed, type-consistent surrogates with checks across the corpus.
 
 Detection finds e-mail addresses, IPv4 addresses, payment cards, social security numbers,
-IBANs, phone numbers and names behind a title. An entity is its kind and canonical form
+IBANs, phone numbers and names behind a title, with the further capitalised mentions of such
+a name in the same text. An entity is its kind and canonical form
 (digits of a number, lower-cased address, each part of a name by itself), so the same
 entity gets the same surrogate in whatever spelling and document.
 
@@ -42,10 +43,17 @@ _NUMBER = re.compile(
     r"(?P<ipv4>(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d))"
     r"|(?P<ssn>\d{3}-\d{2}-\d{4})"
     r"|(?P<card>\d{4}([ -])\d{4}\4\d{4}\4\d{1,7}|\d{13,19})"
-    r"|(?P<phone>(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)?\d{1,4}(?:[ .-]\d{2,4}){1,4})"
+    # International, broken or not; an area code in brackets; a leading 0 or 1 and long groups; short groups.
+    r"|(?P<phone>\+\d+(?:[ ./-]?\(\d{1,5}\)[ ./-]?\d+)?(?:[ ./-]\d+)*"
+    r"|\(\d{2,5}\)[ ./-]?\d+(?:[ .-]\d{2,})*"
+    r"|0\d{1,4}(?:[ -]\d{2,}){1,5}|0\d{2,4}/\d{5,}|1[ -]\d{3}[ -]\d{7}"
+    r"|\d{1,4}[ .-]?\(\d{2,4}\)[ .-]?\d{1,4}(?:[ .-]\d{2,4}){1,4}"
+    r"|\d{1,4}(?:[ .-]\d{2,4}){1,4})"
     r")(?!\w)",
     re.A,
 )
+# One separator is enough behind a trunk prefix.
+_TRUNK = re.compile(r"0\d{1,4}[ /-]\d{5,}", re.A)
 _DATE = re.compile(r"\d{4}([-./])\d{1,2}\1\d{1,2}|\d{1,2}([-./])\d{1,2}\2\d{2,4}", re.A)
 _IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?!\w)", re.A)
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+$", re.A)
@@ -54,6 +62,7 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", re.A)
 _MALE = ("Mr", "Herr", "Señor", "Sr", "Monsieur", "Signor", "г-н", "Господин")
 _FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Señora", "Señorita", "Sra", "Madame", "Mme", "Signora", "г-жа", "Госпожа")
 _OTHER = ("Dr", "Prof")
+_WORD = re.compile(r"[^\W\d_]+")
 _TITLE = re.compile(rf"(?<!\w)(?P<title>{'|'.join((*_MALE, *_FEMALE, *_OTHER))})\.?[ ](?P<name>[^\W\d_]+(?:[-'’ ][^\W\d_]+){{0,2}})")
 # Syllables by script: (consonants, vowels, male endings, female endings).
 _SYLLABLES = {
@@ -87,6 +96,25 @@ def _mod97(iban: str) -> int:
     return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
 
 
+def _whole_groups(value: str) -> str:
+    """The first groups of a marked number, up to the 15 digits that a phone has at most, 11 behind +1."""
+    if value[0] not in "+(":
+        return value
+    digits, end, most = 0, 0, 11 if value.startswith("+1") else 15
+    for g in re.finditer(r"\d+", value):
+        digits += len(g.group())
+        if digits > most:
+            break
+        end = g.end()
+    return value[:end]
+
+
+def _is_phone(value: str) -> bool:
+    if not 7 <= sum(map(str.isdigit, value)) <= 15 or _DATE.fullmatch(value):
+        return False
+    return value[0] == "+" or "(" in value or len(re.findall(r"[ .-]", value)) > 1 or _TRUNK.fullmatch(value) is not None
+
+
 def find_entities(text: str) -> list[Span]:
     """Entities from left to right; of overlapping ones the first, then the longest."""
     found: list[Span] = []
@@ -97,18 +125,24 @@ def find_entities(text: str) -> list[Span]:
             start = at - len(local.group())
             found.append((start, domain.end(), "email", text[start : domain.end()].lower()))
         at = text.find("@", at + 1)
-    for m in _NUMBER.finditer(text):
-        kind, value = next(k for k in ("ipv4", "ssn", "card", "phone") if m.group(k)), m.group()
-        digits = re.sub(r"\D", "", value)
+    m = _NUMBER.search(text)
+    while m:
+        kind, value, after = next(k for k in ("ipv4", "ssn", "card", "phone") if m.group(k)), m.group(), m.end()
         if kind == "phone":
-            plain = not (value[0] == "+" or "(" in value) and len(re.findall(r"[ .-]", value)) < 2
-            if plain or not 7 <= len(digits) <= 15 or _DATE.fullmatch(value):
-                continue
-        found.append((m.start(), m.end(), kind, value if kind == "ipv4" else digits))
+            value = _whole_groups(value)
+            if _is_phone(value):
+                after = m.start() + len(value)
+            else:
+                kind = ""
+                after = m.start() + 1 if value[:1] in ("+", "(", "") else after  # digits behind the mark may be another kind
+        if kind:
+            found.append((m.start(), m.start() + len(value), kind, value if kind == "ipv4" else re.sub(r"\D", "", value)))
+        m = _NUMBER.search(text, after)
     for m in _IBAN.finditer(text):
         value = m.group().replace(" ", "")
         if 15 <= len(value) <= 34 and _mod97(value) == 1:
             found.append((m.start(), m.end(), "iban", value))
+    names: dict[str, str] = {}
     for m in _TITLE.finditer(text):
         gender = "m" if m["title"] in _MALE else "f" if m["title"] in _FEMALE else "x"
         parts = list(re.finditer(r"[^\W\d_]+", m["name"]))
@@ -118,6 +152,14 @@ def find_entities(text: str) -> list[Span]:
             start = m.start("name") + p.start()
             kind = "family" if family else f"given-{gender}"
             found.append((start, start + len(p.group()), kind, p.group().lower()))
+            if len(p.group()) > 1:  # an initial is no name
+                names.setdefault(p.group().lower(), kind)
+    if names:  # mentions without a title
+        titled = {s[0] for s in found if s[2].startswith(("family", "given"))}
+        for m in _WORD.finditer(text):
+            canon = m.group().lower()
+            if canon in names and m.group()[0].isupper() and m.start() not in titled:
+                found.append((m.start(), m.end(), names[canon], canon))
     found.sort(key=lambda s: (s[0], -s[1]))
     out: list[Span] = []
     for s in found:

@@ -160,6 +160,28 @@ def test_permutation_and_checks(spark):
     assert not {r.surrogate for r in table} & {r.canon for r in table}
 
 
+def test_phones_in_common_formats():
+    seen = lambda t: [(k, t[a:b]) for a, b, k, _ in surrogates.find_entities(t)]
+    phones = ["+15551234567", "+49 30 12345678", "(030) 12345678", "+44 7911 123456", "+4915112345678", "+1 (017) 555-7713", "+49 (0)30 12345678", "0049 30 12345678", "030/12345678", "0151-12345678", "1-800-5551234", "017-555-7713", "1 (017) 555-7713"]
+    for p in phones:
+        assert seen(f"call {p}, or") == [("phone", p)], p
+    assert seen("+49 30 12345678 4111111111111111") == [("phone", "+49 30 12345678"), ("card", "4111111111111111")]
+    assert seen("+1 (826) 555-4081 190 20") == [("phone", "+1 (826) 555-4081")]
+    for t in ("52.520008 13.404954", "0.1234567", "2024-01-02", "01/02/2024", "+49 30", "(2) 30", "12 1234567"):
+        assert seen(t) == [], t
+    assert surrogates.find_entities("+15551234567")[0][3] == surrogates.find_entities("+1 (555) 123-4567")[0][3]
+
+
+def test_later_mentions_of_a_titled_name():
+    t = "Anna came. Dr. Anna Weber spoke; Weber's talk, WEBER said, by Weberian web anna.weber@mail.example.com"
+    new, spans = surrogates.rewrite(t, surrogates.Maker(b"k"), {})
+    assert [(k, t[a:b]) for a, b, k, _ in spans] == [("given-x", "Anna"), ("given-x", "Anna"), ("family", "Weber"), ("family", "Weber"), ("family", "WEBER"), ("email", "anna.weber@mail.example.com")]
+    assert not re.search(r"\b(Anna|Weber|WEBER)\b", new)
+    got = re.fullmatch(r"(\w+) came\. Dr\. (\w+) (\w+) spoke; (\w+)'s talk, (\w+) said, by Weberian .*", new)
+    assert got and got[1] == got[2] and got[3] == got[4] == got[5].capitalize()
+    assert [k for _, _, k, _ in surrogates.find_entities("Mrs. A Smith. A tree.")] == ["given-f", "family"]
+
+
 def test_more_given_names_than_short_forms(spark):
     """There are 19,600 Latin male forms of two syllables."""
     entities = spark.range(21_000).selectExpr("'given-m' AS kind", "concat('n', id) AS canon")
