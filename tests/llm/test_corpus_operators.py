@@ -227,6 +227,29 @@ def test_word_probabilities_add_up():
     assert lp[singles.index(b"e")] > lp[singles.index(b"q")]
 
 
+def test_weights_are_carried_on(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    words = [bytes(rng.choice(list(b"aeinrst"), 29).tolist()) for _ in range(400)]  # 100 words an update
+    table = np.zeros((len(mixlm.ORDERS), 2, 1 << mixlm.TABLE_BITS), np.float32)
+    mixlm.count_bits(words, table)
+    whole = mixlm.learn_weights(words, table)[0]
+    learner = mixlm.Learner(np.tile(mixlm.START, (mixlm.GATES, 1)))
+    for k in (0, 200):
+        mixlm.learn_weights(words[k : k + 200], table, learner)
+    assert np.array_equal(learner.weights, whole) and learner.steps == 32
+    # Rounds: the slices tile all words, and the second starts where the first ended.
+    monkeypatch.setattr(mixlm, "ROUND_WORDS", 200)
+    slices = mixlm.round_slices(400)
+    assert len(slices) > 1 and slices[0][0] == 0 and slices[-1][1] == 1 << 20 and all(a[1] == b[0] for a, b in zip(slices, slices[1:], strict=False))
+    assert len(mixlm.round_slices(100_000)) > len(mixlm.round_slices(10_000))
+    df = spark.createDataFrame([(bytearray(w), 1) for w in words], "word binary, c long").coalesce(1).cache()
+    learner = mixlm.Learner(np.tile(mixlm.START, (mixlm.GATES, 1)))
+    place = F.pmod(F.xxhash64("word", F.lit(11)), F.lit(1 << 20))
+    for low, high in slices:
+        mixlm.learn_weights([bytes(r.word) for r in df.where((place >= low) & (place < high)).collect()], table, learner)
+    assert np.allclose(mixlm.fit_bit_model(df, 1, 400).weights, learner.weights)
+
+
 def test_mix_scores_columns(docs_of, odd):
     rng = np.random.default_rng(3)
     texts = [*odd, *(" ".join(rng.choice(["The", "of", "and", "word", "rare" + str(k)], 30)) for k in range(60))]
