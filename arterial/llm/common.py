@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,11 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def with_checkpoints(spark: SparkSession) -> SparkSession:
-    """The session with a checkpoint folder: the cluster's where spark.checkpoint.dir
-    is set, else a new temporary one (tests on one machine)."""
+    """The session with a checkpoint folder: the cluster's where spark.checkpoint.dir is
+    set, else a new temporary one if all runs in one process (tests). A cluster without
+    the setting is an error, as its machines share no temporary folder."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="arterial-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="arterial-"))
     return spark
 
 
@@ -31,8 +35,28 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def let_go(spark: SparkSession) -> None:
-    """Lets Spark remove the shuffle and checkpoint files of tables that are no longer used.
-    It does so when the driver's garbage is collected, which a loop can't wait for."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+class Tables:
+    """Tables written to the shared checkpoint folder between the steps of an operator.
+
+    Unlike a checkpoint they are compressed, know their size, so that Spark can tell a
+    small one, and can be let go as soon as a step no longer needs them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = with_checkpoints(spark)
+        self.root = f"{spark.sparkContext.getCheckpointDir()}/tables-{uuid.uuid4().hex}"
+        self.made = 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """df, computed once."""
+        self.made += 1
+        path = f"{self.root}/{self.made}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *kept: DataFrame) -> None:
+        """Removes the files of tables that ``keep`` returned."""
+        sc = self.spark.sparkContext
+        for df in kept:
+            for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+                path = sc._jvm.org.apache.hadoop.fs.Path(path)
+                path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)

@@ -3,22 +3,23 @@
 Signatures: each permutation of the shingle hashes yields two values, its minimum and its
 maximum, so a signature of 2 P values costs P hash evaluations; both agree between two
 sets with the probability of their Jaccard similarity, and the two are drawn from
-opposite ends, which lowers the variance of the share of agreements. ``ROWS`` values make
-a band. With 28 bands of 6, a pair at similarity 0.85 shares no band once in 600,000.
+opposite ends, which lowers the variance of the share of agreements. Bands are made of
+these values; ``banding`` chooses them by the similarity asked for, so that a pair right
+at it shares no band once in 500,000.
 
 Links: documents with equal sets are one class from the start. Documents that share a
 band form a bucket. Rather than list the pairs of a bucket, rounds link across components:
 
 * First every document is compared with one partner, the member of all of its buckets
   that shares most bands with others; links that hold on the full sets join components.
-* Then, in round r, a bucket that still spans components compares about 8**r of its
-  members (all, in small ones) with its members in other components. Pairs once compared
-  aren't compared again. The work ends when no bucket spans components with pairs left.
+* Then, in round r, a bucket that still spans components compares about 16**r of its
+  members (all, in small ones) with its members in other components. The work ends when
+  no bucket spans components, or when all members of those that do were compared.
 
-Before a pair of a later round is listed, its intersection is bounded from above: hashes
-are dealt to ``CELLS`` cells, and two sets have no more in common than the smaller count
-of each cell. For two copies of one text, each changed elsewhere, the bound is within a
-hash or two of the truth, so copies that aren't linked are told apart without listing.
+Before a pair of a later round is listed, its similarity is bounded from above: bit k of a
+set's sketch is the parity of its hashes that fall to k, so two sketches differ in no more
+bits than the sets have members that the other lacks. Copies of one text, each changed
+elsewhere, that aren't linked are told apart by that without listing them.
 
 So a large group of copies costs a comparison or two for each document, and no pair that
 shares a band and could join two components goes unchecked.
@@ -26,7 +27,9 @@ shares a band and could join two components goes unchecked.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -34,24 +37,46 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arterial.llm.common import checkpointed, let_go
+from arterial.llm.common import Tables
 
-PERMUTATIONS, ROWS = 84, 6
-BANDS = 2 * PERMUTATIONS // ROWS
+#: Chance that a pair at the similarity asked for shares no band, and values of a signature, at most.
+MISS, VALUES = 2e-6, 180
 #: Buckets of this many documents or fewer compare all pairs across components at once.
 SMALL_BUCKET = 24
-#: Cells of the counts that bound an intersection.
-CELLS = 256
+#: Words of 64 bits in a sketch, each a column of its own where pairs are met: small enough
+#: that the comparison is compiled as a whole.
+SKETCH = 16
 #: Word hashes that a task keeps, and texts that it works on at a time.
 KEPT_WORDS, STEP_ROWS = 150_000, 500
 
-_rng = np.random.default_rng(20240229)
-_odd = lambda n: (_rng.integers(0, 1 << 63, n, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
-_MULT, _ADD = _odd(PERMUTATIONS), _rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
-_PLACE, _BAND = _odd(64), _odd(ROWS)
 _FINAL = np.uint64(0xD6E8FEB86659FD93)
 
 
+def _odd(rng: np.random.Generator, n: int) -> np.ndarray:
+    return (rng.integers(0, 1 << 63, n, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+
+
+_PLACE = _odd(np.random.default_rng(20240301), 64)
+
+
+def banding(percent: int) -> tuple[int, int]:
+    """Rows and bands for a similarity: as many rows a band as ``VALUES`` allow with the
+    bands that ``MISS`` asks for; 6 by 28 at 85 percent, 5 by 34 at 80."""
+    bands = lambda rows: 1 if percent >= 100 else math.ceil(math.log(MISS) / math.log1p(-((percent / 100) ** rows)))
+    rows = 1
+    while rows < 16 and (rows + 1) * bands(rows + 1) <= VALUES:
+        rows += 1
+    return rows, bands(rows)
+
+
+@lru_cache(maxsize=None)
+def _constants(rows: int, bands: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Multipliers and summands of the permutations, and the multipliers within a band."""
+    rng = np.random.default_rng(20240229)
+    n = -(-rows * bands // 2)
+    return _odd(rng, n), rng.integers(0, 1 << 63, n, dtype=np.uint64), _odd(rng, rows)
+
+
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= KEPT_WORDS:
@@ -83,27 +108,35 @@ def shingle_hashes(text: str | None, width: int) -> np.ndarray:
     return np.unique(_mixed(out))
 
 
-def minmax_bands(shingles: np.ndarray) -> np.ndarray:
-    """Band keys of a set with members."""
-    low = np.full(PERMUTATIONS, np.iinfo(np.uint64).max, np.uint64)
-    high = np.zeros(PERMUTATIONS, np.uint64)
+def minmax_bands(shingles: np.ndarray, rows: int, bands: int) -> np.ndarray:
+    """Band keys of a set with members; the number of a band takes part in its keys."""
+    mult, add, within = _constants(rows, bands)
+    low = np.full(len(mult), np.iinfo(np.uint64).max, np.uint64)
+    high = np.zeros(len(mult), np.uint64)
     for at in range(0, len(shingles), 1024):
-        h = _mixed(shingles[at : at + 1024, None] * _MULT + _ADD)
+        h = _mixed(shingles[at : at + 1024, None] * mult + add)
         low, high = np.minimum(low, h.min(0)), np.maximum(high, h.max(0))
-    rows = np.concatenate([low, high]).reshape(BANDS, ROWS)
-    return _mixed((rows * _BAND).sum(1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * _FINAL)
+    values = np.concatenate([low, high])[: rows * bands].reshape(bands, rows)
+    return _mixed((values * within).sum(1, dtype=np.uint64) + np.arange(bands, dtype=np.uint64) * _FINAL)
+
 
+def parity_sketch(shingles: np.ndarray) -> np.ndarray:
+    """``SKETCH`` words; each bit is the parity of the hashes that fall to it."""
+    n = 64 * SKETCH
+    odd = np.bincount((shingles >> np.uint64(64 - n.bit_length() + 1)).astype(np.int64), minlength=n) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
-def _signatures(width: int):
+
+def _signatures(width: int, rows: int, bands: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
+        for f in (g.iloc[lo : lo + STEP_ROWS] for g in frames for lo in range(0, len(g), STEP_ROWS)):
+            made = []
             for t in f["text"]:
                 s = shingle_hashes(t, width)
-                bands = minmax_bands(s).view(np.int64) if len(s) else None
                 x = int(np.bitwise_xor.reduce(s)) if len(s) else 0
-                rows.append((len(s), np.uint64(x).view(np.int64), s.sum(dtype=np.uint64).view(np.int64), bands))
-            out = pd.DataFrame(rows, columns=["n_shingles", "__x", "__s", "__bands"])
+                own = (minmax_bands(s, rows, bands).view(np.int64), parity_sketch(s)) if len(s) else (None, None)
+                made.append((len(s), np.uint64(x).view(np.int64), s.sum(dtype=np.uint64).view(np.int64), *own))
+            out = pd.DataFrame(made, columns=["n_shingles", "__x", "__s", "__bands", "__sketch"])
             out.insert(0, "doc_id", f["doc_id"].to_numpy())
             yield out
         _words.clear()  # the worker lives on
@@ -114,38 +147,36 @@ def _signatures(width: int):
 def _sets(width: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in (g.iloc[lo : lo + STEP_ROWS] for g in frames for lo in range(0, len(g), STEP_ROWS)):
-            sets = [shingle_hashes(t, width) for t in f["text"]]
-            cells = [np.minimum(np.bincount((s >> np.uint64(17)).astype(np.int64) % CELLS, minlength=CELLS), 32767).astype(np.int16) if len(s) <= 32767 else None for s in sets]
-            yield pd.DataFrame({"id": f["doc_id"], "shingles": [s.view(np.int64) for s in sets], "cells": cells})
+            yield pd.DataFrame({"id": f["doc_id"], "shingles": [shingle_hashes(t, width).view(np.int64) for t in f["text"]]})
         _words.clear()
 
     return run
 
 
-def merged(components: DataFrame, links: DataFrame) -> DataFrame:
+def merged(tables: Tables, components: DataFrame, links: DataFrame) -> DataFrame:
     """``components`` (id, comp) after joining the components of each link (a, b), pairs of components.
 
-    Joins are kept from being broadcast: there are many, and each would hold memory on the driver.
     Labels are the smallest id of a component. Each round points every component at the
     smallest neighbour it knows of and follows the pointers once, so the rounds are about
     the logarithm of a chain of links."""
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    edges = checkpointed(both.distinct())
-    labels = edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("to"))
-    labels = checkpointed(labels)
+    edges = tables.keep(both.distinct())
+    labels = tables.keep(edges.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("to")))
     while True:
-        let_go(components.sparkSession)
         known = labels.select(F.col("a").alias("b"), F.col("to").alias("near"))
-        least = edges.join(known.hint("merge"), "b").groupBy("a").agg(F.min("near").alias("near"))
-        stepped = labels.join(least.hint("merge"), "a").select("a", F.least("to", "near").alias("new"), "to")
+        least = edges.join(known, "b").groupBy("a").agg(F.min("near").alias("near"))
+        stepped = labels.join(least, "a").select("a", F.least("to", "near").alias("new"), "to")
         jump = labels.select(F.col("a").alias("new"), F.col("to").alias("jump"))
-        stepped = stepped.join(jump.hint("merge"), "new", "left").select("a", F.least("new", F.coalesce("jump", "new")).alias("to"), (F.least("new", F.coalesce("jump", "new")) < F.col("to")).alias("moved"))
-        stepped = checkpointed(stepped)
-        labels = stepped.select("a", "to")
+        to = F.least("new", F.coalesce("jump", "new"))
+        stepped = tables.keep(stepped.join(jump, "new", "left").select("a", to.alias("to"), (to < F.col("to")).alias("moved")))
+        tables.drop(labels)
+        labels = stepped
         if not stepped.where("moved").head(1):
             break
-    out = components.join(labels.withColumnRenamed("a", "comp").hint("merge"), "comp", "left")
-    return out.select("id", F.coalesce("to", "comp").alias("comp"))
+    out = components.join(labels.select(F.col("a").alias("comp"), "to"), "comp", "left")
+    out = tables.keep(out.select("id", F.coalesce("to", "comp").alias("comp")))
+    tables.drop(edges, labels)
+    return out
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -164,78 +195,83 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataF
     100 * intersection >= ``percent`` * union; a component takes its smallest doc_id.
     Null, empty and blank texts have no set, link with nothing and are kept. Rows repeated
     under one id are one document if their texts have one set, else they link what each of
-    them links. A null id links with nothing, has a null component and is kept. An empty
-    table gives an empty result; extra columns are dropped.
+    them links. A null id links with nothing, has a null component and is kept. Very long
+    texts are read whole. An empty table gives an empty result; extra columns are dropped.
     """
-    made = "doc_id long, n_shingles long, __x long, __s long, __bands array<long>"
+    tables = Tables(docs.sparkSession)
+    made = "doc_id long, n_shingles long, __x long, __s long, __bands array<long>, __sketch array<long>"
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = checkpointed(texts.mapInPandas(_signatures(width), made))
+    signed = tables.keep(texts.mapInPandas(_signatures(width, *banding(percent)), made))
     key = ["n_shingles", "__x", "__s"]
-    classes = signed.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy(*key).agg(F.min("doc_id").alias("id"), F.min("__bands").alias("__bands"))
-    classes = checkpointed(classes)
+    takes_part = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    real = signed.where(takes_part)
+    classes = tables.keep(real.groupBy(*key).agg(F.min("doc_id").alias("id"), F.min("__bands").alias("__bands"), F.min("__sketch").alias("sketch")))
     # A document and its class; ids of several sets tie their classes together.
-    rows = signed.select("doc_id", *key).join(classes.select(*key, "id"), key, "left")
-    ties = rows.where((F.col("doc_id") != F.col("id"))).select(F.col("doc_id").alias("a"), F.col("id").alias("b")).join(classes.select(F.col("id").alias("a")), "a", "left_semi").distinct()
-
-    banded = classes.select("id", "n_shingles", F.posexplode("__bands").alias("band", "key"))
-    crowded = banded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    members = checkpointed(banded.join(crowded, ["band", "key"]).select("band", "key", "m", "id", "n_shingles"))
-    ids = checkpointed(members.select("id").distinct())
-    sets = checkpointed(texts.join(ids, F.col("doc_id") == F.col("id"), "left_semi").mapInPandas(_sets(width), "id long, shingles array<long>, cells array<short>").dropDuplicates(["id", "shingles"]))
+    rows = tables.keep(real.select("doc_id", *key).join(classes.select(*key, "id"), key).select("doc_id", "n_shingles", "id"))
+    several = tables.keep(rows.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("last")).where("a < last").select("doc_id", "a"))
+    ties = rows.join(several, "doc_id").where("a <> id").select("a", F.col("id").alias("b")).distinct()
 
-    components = ids.select("id", F.col("id").alias("comp"))
+    banded = classes.select("id", "n_shingles", F.explode("__bands").alias("key"))
+    crowded = banded.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    members = tables.keep(banded.join(crowded, "key").select("key", "m", "id", "n_shingles"))
     # Priority: members whose bands are shared most, so that members of one group agree on
     # whom they meet first, and that is one close to most.
-    degree = members.groupBy("id").agg(F.sum("m").alias("degree"))
-    members = checkpointed(members.join(degree.hint("merge"), "id"))
+    degree = tables.keep(members.groupBy("id").agg(F.sum("m").alias("degree")))
+    wanted = texts.join(degree.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    sets = tables.keep(wanted.mapInPandas(_sets(width), "id long, shingles array<long>"))
     rank = F.struct((-F.col("degree")).alias("d"), F.xxhash64("id").alias("h"), F.col("id").alias("id"), F.col("n_shingles").alias("n"))
-    heads = members.groupBy("band", "key").agg(F.min(rank).alias("head"))
-    first = members.join(heads, ["band", "key"]).where(F.col("id") != F.col("head.id")).groupBy("id", "n_shingles").agg(F.min("head").alias("head"))
+    ranked = members.join(degree, "id")
+    heads = ranked.groupBy("key").agg(F.min(rank).alias("head"))
+    first = members.join(heads, "key").where(F.col("id") != F.col("head.id")).groupBy("id", "n_shingles").agg(F.min("head").alias("head"))
     pairs = _fitting(first.select(F.col("id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("head.id").alias("b"), F.col("head.n").alias("n_b")), percent)
-    tested = checkpointed(pairs)
-    links = checkpointed(_similar(tested, sets, percent))
-    components = checkpointed(merged(components, links.union(ties)))
+    linked = tables.keep(_similar(pairs, sets, percent).union(ties))
+    components = merged(tables, classes.select("id", F.col("id").alias("comp")).distinct(), linked)
+    tables.drop(linked)
 
-    # Ids of several sets have no cells of their own: they are bounded by sizes alone.
-    cells = checkpointed(sets.groupBy("id").agg(F.when(F.count(F.lit(1)) == 1, F.min("cells")).alias("cells")))
+    sketches = classes.select("id", "n_shingles", "sketch")
     share = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    for r in range(1, 21):
-        let_go(docs.sparkSession)
-        placed = members.join(components.hint("merge"), "id")
-        spans = placed.groupBy("band", "key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("band", "key")
-        live = placed.join(spans.hint("merge"), ["band", "key"]).select("band", "key", "m", "id", "n_shingles", "comp")
-        live = checkpointed(live.join(cells.hint("merge"), "id"))
-        biggest = live.agg(F.max("m")).first()[0]
+    live = members
+    for r in range(1, 16):
+        placed = live.join(components, "id").select("key", "m", "id", "n_shingles", "comp")
+        spans = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key")
+        spanning = tables.keep(placed.join(spans, "key"))
+        tables.drop(live)
+        live = spanning.select("key", "m", "id", "n_shingles")
+        biggest = spanning.agg(F.max("m")).first()[0]
         if biggest is None:
             break
-        probes = live.where((F.col("m") <= SMALL_BUCKET) | (share * F.col("m") < F.lit(float(1 << 3 * r))))
-        probes = probes.select("band", "key", F.col("id").alias("p"), F.col("n_shingles").alias("n_p"), F.col("comp").alias("c_p"), F.col("cells").alias("cells_p"))
-        met = live.join(probes.hint("merge"), ["band", "key"]).where((F.col("comp") != F.col("c_p")) & _may_link(percent))
-        met = met.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b"), F.when(F.col("id") < F.col("p"), F.col("n_shingles")).otherwise(F.col("n_p")).alias("n_a"), F.when(F.col("id") < F.col("p"), F.col("n_p")).otherwise(F.col("n_shingles")).alias("n_b"))
-        let_go(docs.sparkSession)
-        fresh = checkpointed(_fitting(met, percent).join(tested.hint("merge"), ["a", "b"], "left_anti"))
-        last = (1 << 3 * r) >= biggest or biggest <= SMALL_BUCKET
-        links = checkpointed(_similar(fresh, sets, percent)) if fresh.head(1) else None
+        drawn = tables.keep(spanning.join(sketches, ["id", "n_shingles"]).select("key", "m", "id", "n_shingles", "comp", *(F.col("sketch")[k].alias(f"k{k}") for k in range(SKETCH))))
+        probes = drawn.where((F.col("m") <= SMALL_BUCKET) | (share * F.col("m") < F.lit(float(1 << 4 * r))))
+        probes = probes.select("key", F.col("id").alias("p"), F.col("n_shingles").alias("n_p"), F.col("comp").alias("c_p"), *(F.col(f"k{k}").alias(f"p{k}") for k in range(SKETCH)))
+        # Of two probes, the pair is met once.
+        once = (F.col("m") > SMALL_BUCKET) | (F.col("id") < F.col("p"))
+        met = drawn.join(probes.hint("merge"), "key").where((F.col("comp") != F.col("c_p")) & once & _may_link(percent))
+        fresh = tables.keep(met.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct())
+        links = tables.keep(_similar(fresh, sets, percent)) if fresh.head(1) else None
         if links is not None and links.head(1):
-            named = components.withColumnRenamed("id", "a").withColumnRenamed("comp", "x")
-            other = components.withColumnRenamed("id", "b").withColumnRenamed("comp", "y")
-            across = links.join(named.hint("merge"), "a").join(other.hint("merge"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-            components = checkpointed(merged(components, across))
-        if last:  # every member of a live bucket has been a probe
+            named = components.select(F.col("id").alias("a"), F.col("comp").alias("x"))
+            other = components.select(F.col("id").alias("b"), F.col("comp").alias("y"))
+            across = links.join(named, "a").join(other, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+            before, components = components, merged(tables, components, across)
+            tables.drop(before)
+        tables.drop(drawn, fresh, *([] if links is None else [links]))
+        if (1 << 4 * r) >= biggest or biggest <= SMALL_BUCKET:  # every member of a live bucket has been a probe
             break
-        tested = tested.union(fresh)
-    found = rows.join(components.select("id", "comp"), "id", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "id", "doc_id"))
-    out = found.select("doc_id", "n_shingles", component.alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    tables.drop(sets, classes, several, degree)
+    found = rows.join(components, "id").select("doc_id", "n_shingles", F.col("comp").alias("component_id"))
+    alone = signed.where(~takes_part).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return found.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def _may_link(percent: int) -> Column:
-    """Whether the cells of (cells, n_shingles) and (cells_p, n_p) allow the similarity."""
-    least = F.zip_with("cells", "cells_p", lambda x, y: F.least(x, y))
-    most = F.aggregate(least, F.lit(0), lambda total, v: total + v)
-    most = F.coalesce(most, F.least("n_shingles", "n_p").cast("int"))
-    return 100 * most >= percent * (F.col("n_shingles") + F.col("n_p") - most)
+    """Whether the sizes and sketches of (n_shingles, k0, ...) and (n_p, p0, ...) allow the similarity.
+
+    With d members not in common of n in both sets it is (n - d) / (n + d), and d is no
+    less than the bits that differ."""
+    n = F.col("n_shingles") + F.col("n_p")
+    sized = 100 * F.least("n_shingles", "n_p") >= percent * F.greatest("n_shingles", "n_p")
+    differ = sum((F.bit_count(F.col(f"k{k}").bitwiseXOR(F.col(f"p{k}"))) for k in range(SKETCH)), F.lit(0))
+    return sized & ((100 - percent) * n >= (100 + percent) * differ)
 
 
 def _fitting(pairs: DataFrame, percent: int) -> DataFrame:
