@@ -21,8 +21,10 @@ keeps the margins of words it has seen in a table of bounded size.
 from __future__ import annotations
 
 import re
+import zlib
+from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import combinations
@@ -34,8 +36,8 @@ from pyspark.sql import functions as F
 
 from arterial.llm.rules import labelled_sample
 
-#: Labelled rows that the machine is trained on, about.
-SAMPLE_ROWS = 4_000
+#: Labelled rows that the machine is trained on, about, and distinct words of one of them, at most.
+SAMPLE_ROWS, SAMPLE_WORDS = 4_000, 20_000
 TOXIC_LANDMARKS, CLEAN_LANDMARKS = 160, 64
 DECAY = 0.7
 #: Characters are told apart in so many classes.
@@ -47,7 +49,9 @@ WINDOW, STRIDE = 20, 10
 KEPT_WORDS = 150_000
 #: What the triples may span, weights beyond are under 0.06.
 _EDGE = b".,!?;:\"'()[]{}|*#$%&<>-_/"
-_SPACED = re.compile(r"(?<!\S)(?:\S[ ]){2,}\w(?!\w)")
+# Runs of single characters, taken whole (possessive), so that a text is read once.
+_SINGLES = re.compile(r"(?<!\S)(?:\S[ ]){2,}+")
+_LETTER = re.compile(r"\w(?!\w)")
 
 
 def char_classes(word: str) -> np.ndarray:
@@ -145,11 +149,25 @@ def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
     return out
 
 
+def spaced_out(text: str) -> list[str]:
+    """Words of three characters or more written with a blank behind each, the last a letter or digit."""
+    out = []
+    for m in _SINGLES.finditer(text):
+        run = m.group()[::2]
+        if _LETTER.match(text, m.end()):
+            out.append(run + text[m.end()])
+            continue
+        last = max((k for k in range(2, len(run)) if run[k].isalnum() or run[k] == "_"), default=0)
+        if last:
+            out.append(run[: last + 1])
+    return out
+
+
 def units(text: str | None) -> list[str]:
     """The words of a text, lower-cased and without punctuation at the ends, and spaced-out words joined."""
     t = (text or "").lower()
     found = [w for b in t.encode().split() if (w := b.strip(_EDGE).decode(errors="ignore"))]
-    return found + [m.group().replace(" ", "") for m in _SPACED.finditer(t)]
+    return found + spaced_out(t)
 
 
 @dataclass
@@ -181,13 +199,14 @@ class Machine:
         return out
 
 
-def text_features(margins: np.ndarray) -> np.ndarray:
-    """Worst margin, offending words and their share, of a text's word margins."""
+def text_features(margins: np.ndarray, times: np.ndarray | None = None) -> np.ndarray:
+    """Worst margin, offending words and their share, of a text's word margins, each counted ``times``."""
     if not len(margins):
         return np.array([-2.0, 0.0, 0.0, 0.0])
-    hits = float((margins > 0).sum())
-    strong = float((margins > 0.5).sum())
-    return np.array([float(np.clip(margins.max(), -2, 2)), np.log1p(hits), np.log1p(strong), min(3.0, 100 * hits / len(margins))])
+    times = np.ones(len(margins)) if times is None else times
+    hits = float(times[margins > 0].sum())
+    strong = float(times[margins > 0.5].sum())
+    return np.array([float(np.clip(margins.max(), -2, 2)), np.log1p(hits), np.log1p(strong), min(3.0, 100 * hits / float(times.sum()))])
 
 
 def hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 3000.0) -> tuple[np.ndarray, float]:
@@ -217,17 +236,33 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
-def train(texts: list[str], toxic: np.ndarray) -> Machine:
+def counted(text: str | None) -> tuple[list[str], np.ndarray]:
+    """Distinct words of a text in order, and how often each occurs; of more than
+    ``SAMPLE_WORDS`` those of the smallest hashes (in learning alone)."""
+    found = Counter(units(text))
+    names = sorted(found)
+    if len(names) > SAMPLE_WORDS:
+        names = sorted(sorted(names, key=lambda w: (zlib.crc32(w.encode(errors="replace")), w))[:SAMPLE_WORDS])
+    return names, np.array([found[w] for w in names], np.int32)
+
+
+def train(texts: list[str | None], toxic: np.ndarray) -> Machine:
     """A machine from texts and their labels (0 or 1); a constant one if a class is missing."""
+    return train_counted(map(counted, texts), toxic)
+
+
+def train_counted(texts: Iterable[tuple[list[str], np.ndarray]], toxic: np.ndarray) -> Machine:
+    """The same from the ``counted`` words of the texts, which are read once and kept as numbers."""
     rate = float(toxic.sum()) / (len(toxic) + 1)
     if not 0 < toxic.sum() < len(toxic):
         return Machine(None, 0.0, None, rate)
-    owned = [units(t) for t in texts]
-    inside = [{p for w in u for p in windows(w) if len(p) >= 3} for u in owned]
+    number: dict[str, int] = {}
+    owned = []
+    for names, times in texts:
+        owned.append((np.array([number.setdefault(w, len(number)) for w in names], np.int32), times))
+    words = list(number)
     n1, n0 = int(toxic.sum()), int(len(toxic) - toxic.sum())
-    bad, good = Counter(), Counter()
-    for words, y in zip(inside, toxic, strict=True):
-        (bad if y else good).update(words)
+    bad, good = _windows_of_classes(words, owned, toxic)
     # Words that toxic texts put forward: far more frequent there than chance has it.
     worth = {w: _surprise(k, good[w], n1, n0) for w, k in bad.items() if k > 2 and k * n0 > 3 * good[w] * n1}
     forward = sorted((w for w, v in worth.items() if v > SURPRISE), key=lambda w: (-worth[w], w))
@@ -246,16 +281,16 @@ def train(texts: list[str], toxic: np.ndarray) -> Machine:
     # Clean words: the frequent ones and an even share of the others; then those found hardest.
     calm = [w for w in common if w not in worth or worth[w] <= SURPRISE]
     chosen = calm[:2000] + calm[2000 :: max(1, len(calm) // 6000)]
+    neg_weight = [good[w] for w in chosen]
     negative = kernel(chosen, marks) @ root
     for r in range(3):
         x = np.vstack([positive, negative])
         y = np.concatenate([np.ones(len(positive)), -np.ones(len(negative))])
-        neg_weight = np.sqrt([good[w] for w in chosen])
-        weight = np.concatenate([pos_weight / pos_weight.sum(), neg_weight / neg_weight.sum()])
-        w, bias = hinge(x, y, weight)
+        of = np.sqrt(neg_weight)
+        w, bias = hinge(x, y, np.concatenate([pos_weight / pos_weight.sum(), of / of.sum()]))
+        machine = Machine(_folded(marks, root @ w), bias, None, rate)
         if r == 2:
             break
-        machine = Machine(_folded(marks, root @ w), bias, None, rate)
         had = set(chosen)
         rest = [v for v in calm if v not in had]
         rest = rest[:: 1 + len(rest) // 50_000]
@@ -263,16 +298,31 @@ def train(texts: list[str], toxic: np.ndarray) -> Machine:
         if not hard:
             break
         chosen += hard
+        neg_weight += [good[w] for w in hard]
         negative = np.vstack([negative, kernel(hard, marks) @ root])
-    machine = Machine(_folded(marks, root @ w), bias, None, rate)
-    names = sorted(set().union(*(u for u in owned)))
-    margin = machine.margins(names)
-    seen = {k: float(m) for k, m in zip(names, margin, strict=True)}
-    x = np.stack([text_features(_margins_of(u, seen, machine)) for u in owned])
+    margin = np.concatenate([machine.margins(words[lo : lo + 20_000]) for lo in range(0, len(words), 20_000)] or [np.zeros(0)])
+    x = np.stack([text_features(margin[ids], times) for ids, times in owned])
     machine.curve = logistic(x, toxic.astype(float))
     return machine
 
 
+def _windows_of_classes(words: list[str], owned: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray) -> tuple[Counter, Counter]:
+    """In how many toxic and in how many clean texts each window of their words stands."""
+    number: dict[str, int] = {}
+    parts, edges = array("i"), [0]
+    for w in words:
+        parts.extend(number.setdefault(p, len(number)) for p in windows(w) if len(p) >= 3)
+        edges.append(len(parts))
+    parts, edges = np.array(parts, np.int32), np.array(edges)
+    found = np.zeros((2, len(number)), np.int64)
+    for (ids, _), y in zip(owned, toxic, strict=True):
+        size = edges[ids + 1] - edges[ids]
+        at = np.repeat(edges[ids] - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum()) if len(ids) else np.zeros(0, np.int64)
+        found[int(y), np.unique(parts[at])] += 1
+    names = list(number)
+    return tuple(Counter({names[k]: int(found[y, k]) for k in np.flatnonzero(found[y])}) for y in (1, 0))
+
+
 def disguised(word: str) -> list[str]:
     """Variants with one character inserted or doubled, for learning."""
     if not 4 <= len(word) < WINDOW:
@@ -311,19 +361,34 @@ def score_texts(texts: list[str | None], machine: Machine, seen: dict[str, float
     return (1 / (1 + np.exp(-np.clip(linear, -500, 500)))).tolist()
 
 
+def _counted_frames(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for f in frames:
+        rows = [(*counted(t), int(y > 0)) for t, y in zip(f["text"], f["y"], strict=True)]
+        yield pd.DataFrame({"words": ["\n".join(r[0]) for r in rows], "times": [r[1].tobytes() for r in rows], "y": [r[2] for r in rows]})
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Machine:
-    """A machine from labelled rows (``toxic``) whose crc32(doc_id) mod 5 is not 0."""
+    """A machine from labelled rows (``toxic``) whose crc32(doc_id) mod 5 is not 0.
+
+    The sample's texts are split and counted by the executors; the driver takes their
+    words row by row. Null and empty texts count as texts without words; without rows of
+    both classes, or without rows, the machine is a constant."""
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) != 0
-    sample = labelled_sample(docs, labels, "toxic", sample_rows, where=fold).select("text", "y").toPandas()
-    sample = sample.sort_values(["text", "y"], na_position="first", kind="stable") if len(sample) else sample
-    return train(sample["text"].tolist(), (sample["y"].to_numpy() > 0).astype(int))
+    sample = labelled_sample(docs, labels, "toxic", sample_rows, where=fold).select("text", "y")
+    found = sample.mapInPandas(_counted_frames, "words string, times binary, y int").toPandas()
+    # The order in which rows arrive plays no part.
+    found = found.sort_values(["words", "times", "y"], kind="stable")
+    own = ((w.split("\n") if w else [], np.frombuffer(t, np.int32)) for w, t in zip(found["words"], found["times"], strict=True))
+    return train_counted(own, found["y"].to_numpy(int))
 
 
 def score_toxicity(docs: DataFrame, machine: Machine) -> DataFrame:
     """``docs`` with score (0 to 1) and predicted (1 if score >= 0.5).
 
-    Only the text is an input of the score. Null, empty and blank texts score as a text
-    without words; without labels of both classes all texts score the share of toxic ones.
+    Only the text is an input of the score, whole and in time proportional to its length.
+    Null, empty and blank texts score as a text without words; without labels of both
+    classes all texts score the share of toxic ones. Equal texts score alike, repeated rows
+    stay, and an empty table gives an empty result.
     Other columns are carried along; ones named like a result are replaced.
     """
     kept = docs.drop("score", "predicted")
