@@ -24,6 +24,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -43,7 +44,12 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _ID = re.compile(r"""\b(?:client_?id|account_?id|access_?key_?id|user_?name|user|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,64})""", re.I | re.A)
 # An equals sign may stand before a value; behind one it is padding. Possessive: a run is read once.
 _KEY = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}+(?![A-Za-z0-9+/_=-])")
-_HOST = re.compile(r"\b(?:(?:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqps?|ftp)://[^\s\"'<>]+|[a-z0-9-]+(?:\.[a-z0-9-]+)+:\d{2,5}\b)", re.A)
+# A name of labels is tried at its start alone and taken whole, so that a text is read once.
+_HOST = re.compile(
+    r"\b(?:https?|jdbc:[a-z]{1,20}|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqps?|ftp)://[^\s\"'<>]+"
+    r"|(?<![\w-])(?<![\w-]\.)[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++:\d{2,5}\b",
+    re.A,
+)
 _SETTING = re.compile(r"""(?<![\w.-])[\w.-]++["']?[\x20\t]*+[:=][\x20\t]*+(?:"[^"\n]*+"|'[^'\n]*+'|[^\s,;&"']++)[\s,;&"'{}\[\]]*+""", re.A)
 _BLANK = re.compile(r"\n[\x20\t\r]*\n")
 
@@ -131,12 +137,13 @@ class _Covered:
     """Whether a span overlaps one of the given."""
 
     def __init__(self, spans: list[Span]):
-        self.spans = sorted((s, e) for _, s, e in spans)
-        self.starts = [s for s, _ in self.spans]
+        of = sorted((s, e) for _, s, e in spans)
+        self.starts = [s for s, _ in of]
+        self.farthest = list(accumulate((e for _, e in of), max))  # end of the spans up to here
 
     def __call__(self, span: Span) -> bool:
         at = bisect.bisect_left(self.starts, span[2])
-        return any(e > span[1] for _, e in self.spans[max(0, at - 4) : at])
+        return at > 0 and self.farthest[at - 1] > span[1]
 
 
 def digest(spans: list[Span]) -> str:
@@ -170,8 +177,9 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
 
     Offsets are code points, ends exclusive. ``redacted`` is the text with every finding
     replaced. Null and empty texts have no findings: counts 0, the hash of the empty
-    string, spans ''; a null text stays null. Repeated rows are scanned alike, and other
-    columns are carried along; ones named like a result are replaced.
+    string, spans ''; a null text stays null. Texts are read whole, in time proportional to
+    their length. Repeated rows are scanned alike, an empty table gives an empty result, and
+    other columns are carried along; ones named like a result are replaced.
     """
     made = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string, redacted string"
     kept = docs.drop("n_assign", "n_access", "n_hex", "base_sha256", "spans", "redacted")
