@@ -27,7 +27,7 @@ _SYMBOLS = np.frombuffer(b"#*$%&|<>", np.uint8)
 
 BASE_STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Statistics that conditions may test.
-FEATURES = ("n_words", "mean_word_chars", "symbols_pct", "dup_lines_pct", "repeat_pct", "upper_pct", "digit_pct", "bang_pct", "distinct_pct", "top_word_pct", "stop_pct")
+FEATURES = ("n_words", "mean_word_chars", "symbols_pct", "dup_lines_pct", "repeat_pct", "upper_pct", "digit_pct", "bang_pct", "distinct_pct", "top_word_pct", "full_stop_pct")
 _MULT = (np.random.default_rng(7).integers(1, 1 << 63, WINDOW, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
@@ -225,7 +225,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, w
 def fit_quality_rules(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, **options) -> list[Rule]:
     """Rules from the statistics of labelled documents (``quality`` 0 is bad)."""
     sample = labelled_sample(docs, labels.withColumn("__bad", 1 - F.col("quality")), "__bad", sample_rows)
-    seen = with_stats(sample).drop("doc_id").toPandas()
+    # In an order of its own, so that rules don't depend on how the tables are laid out.
+    seen = with_stats(sample).toPandas()
+    seen = seen.sort_values([c for c in seen.columns if c != "doc_id"] + ["doc_id"], kind="stable")
     x = {c: seen[c if c in BASE_STATS else f"f_{c}"].to_numpy(float) for c in FEATURES}
     return learn_rules(x, seen["y"].to_numpy() > 0, **options) if len(seen) else []
 
