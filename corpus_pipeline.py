@@ -24,7 +24,8 @@ BROADCAST_IDS = 500_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below 0.5."""
+    """Documents whose toxicity score is below 0.5. Null and empty texts score as texts
+    without words; repeated rows are judged alike. An empty table stays empty."""
     machine = fit_toxicity(docs, table(spark, sf_dir, "labels"))
     return score_toxicity(docs.select(*COLUMNS), machine).where("predicted = 0").select(*COLUMNS)
 
@@ -32,7 +33,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each group at similarity 0.8 of five-word shingles.
 
-    Rows repeated under one id stay once; documents without words and null ids all stay."""
+    Of rows repeated under one id, those of the same words stay once; rows of other words
+    stay too. Documents without words and null ids all stay. An empty table stays empty."""
     found = near_duplicates(docs, width=5, percent=80)
     found = checkpointed(found.where(F.col("doc_id").isNotNull()))
     gone = found.where("not kept").select("doc_id").distinct()
@@ -42,12 +44,18 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     left = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
     if not repeated.head(1):
         return left
-    once = left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return left.join(repeated, "doc_id", "left_anti").select(*COLUMNS).unionByName(once.select(*COLUMNS))
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = F.btrim(F.regexp_replace(lower, r"[\x20\x09-\x0D]+", " "))
+    named = left.join(repeated, "doc_id", "left_semi").withColumn("__words", F.coalesce(words, F.lit("")))
+    rest = [c for c in COLUMNS if c != "doc_id"]
+    once = named.where("__words <> ''").groupBy("doc_id", "__words").agg(F.min(F.struct(*rest)).alias("row")).select("doc_id", "row.*")
+    others = left.join(repeated, "doc_id", "left_anti").select(*COLUMNS)
+    return others.unionByName(once.select(*COLUMNS)).unionByName(named.where("__words = ''").select(*COLUMNS))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, every secret found in them replaced by a mark."""
+    """All documents, every secret found in them replaced by a mark. Null and empty texts and
+    texts without findings stay as they are. An empty table stays empty."""
     scanned = scan_secrets(docs.select(*COLUMNS))
     text = F.when(F.col("spans") == "", F.col("text")).otherwise(F.col("redacted"))
     chars = F.when(F.col("spans") == "", F.col("n_chars")).otherwise(F.length("redacted").cast("long"))
@@ -55,18 +63,17 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it; a share of its words as their first words."""
-    mixed = mix_to_targets(docs.select(*COLUMNS), weights=(5, 2, 1), max_epochs=3, seed=17).where("taken > 0")
-    whole, rest = F.floor(F.col("taken") / F.col("size")).cast("int"), F.col("taken") % F.col("size")
-    copies = mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), whole + (rest > 0).cast("int"))))
-    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    text = F.when(F.col("copy") <= whole, F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), rest.cast("int")), " "))
-    chars = F.when(F.col("copy") <= whole, F.col("n_chars")).otherwise(F.length("__text").cast("long"))
-    return copies.withColumn("__text", text).withColumn("n_chars", chars).withColumn("text", F.col("__text")).select(*COLUMNS)
+    """Every document as often as the mix takes it, each time whole.
+
+    Texts without words are taken 0 times; equal rows are taken alike. An empty table stays empty."""
+    mixed = mix_to_targets(docs.select(*COLUMNS), weights=(5, 2, 1), max_epochs=3, seed=17, whole=True).where("taken > 0")
+    copies = (F.col("taken") / F.col("size")).cast("int")
+    return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), copies))).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of every document of the mix."""
+    """Piece ids of every document of the mix, repeated rows each. Null and empty texts have no
+    pieces. An empty table gives an empty result."""
     encoded = encode_pieces(docs.select(*COLUMNS), PIECES)
     return encoded.select("doc_id", "lang", "source", "n_chars", "n_pieces", "ids")
 
