@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from arterial.llm import covertree, mixing, mixlm, neardup, sharding
+from arterial.llm import covertree, mixing, mixlm, neardup, sharding, spelling
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -55,6 +55,24 @@ def test_mix_reaches_targets(docs_of, odd):
     assert sorted((r.doc_id, r.taken) for r in again) == sorted((r.doc_id, r.taken) for r in rows)
 
 
+def test_mix_of_whole_documents(docs_of):
+    rng = np.random.default_rng(5)
+    texts = ["w " * int(n) for n in rng.integers(1, 60, 300)] + ["", None, "w " * 5000]
+    docs = docs_of(texts)
+    rows = mixing.mix_to_targets(docs, whole=True).collect()
+    by_source = {}
+    for r in rows:
+        assert r.size == len((r.text or "").split()) and (r.taken % r.size == 0 if r.size else r.taken == 0) and r.taken <= 3 * r.size
+        got = by_source.setdefault(r.source, [0, r.target, 0])
+        got[0] += r.taken
+        got[2] = max(got[2], r.size)
+    # The document at the cut is taken or left whole: half of it is the most that words can miss.
+    assert all(abs(a - b) <= most / 2 + 1 for a, b, most in by_source.values())
+    again = mixing.mix_to_targets(docs.repartition(5), whole=True).collect()
+    assert sorted((r.doc_id, r.taken) for r in rows) == sorted((r.doc_id, r.taken) for r in again)
+    assert mixing.mix_to_targets(docs_of([]), whole=True).count() == 0
+
+
 def test_mix_of_nothing(docs_of):
     assert mixing.mix_to_targets(docs_of([])).count() == 0
     assert [r.taken for r in mixing.mix_to_targets(docs_of([None, ""])).collect()] == [0, 0]
@@ -213,41 +231,30 @@ def test_near_duplicates_of_odd_ids(docs_of):
 def test_word_probabilities_add_up():
     """Over all continuations of a context the coded bits are a distribution."""
     words = [b"the", b"then", b"other", b"a", b""]
-    table = np.zeros((len(mixlm.ORDERS), 2, 1 << mixlm.TABLE_BITS), np.float32)
-    mixlm.count_bits(words, table)
-    w, used, refine = mixlm.learn_weights(words, table)
-    model = mixlm.BitModel(mixlm.log_odds(table[:, 0], table[:, 1]), w, (refine[..., 1] + 1) / (refine.sum(-1) + 2))
-    singles = [bytes([b]) for b in range(256) if b != mixlm.END_WORD]
-    data, place, word = mixlm.flat_words([b"th" + s for s in singles])
-    lp = mixlm.score_words([b"th" + s for s in singles], model)
-    ends = mixlm.score_words([b"th"], model)[0]
-    prefix = 10 ** mixlm.score_words([b"th"], model)[0]
+    table = np.zeros((spelling.PREDICTORS, 2, 1 << spelling.TABLE_BITS), np.float32)
+    spelling.count_bits(words, table)
+    w, used, refine = spelling.learn_weights(words, table)
+    model = spelling.BitModel(spelling.log_odds(table[:, 0], table[:, 1]), w, (refine[..., 1] + 1) / (refine.sum(-1) + 2))
+    singles = [bytes([b]) for b in range(256) if b != spelling.END_WORD]
+    data, place, word = spelling.flat_words([b"th" + s for s in singles])
+    lp = spelling.score_words([b"th" + s for s in singles], model)
+    ends = spelling.score_words([b"th"], model)[0]
+    prefix = 10 ** spelling.score_words([b"th"], model)[0]
     assert prefix > 0 and len(data) == 4 * len(singles) and ends < 0
     assert (10**lp).sum() + prefix <= 1 + 1e-9
     assert lp[singles.index(b"e")] > lp[singles.index(b"q")]
 
 
-def test_weights_are_carried_on(spark, monkeypatch):
+def test_weights_are_carried_on():
     rng = np.random.default_rng(6)
     words = [bytes(rng.choice(list(b"aeinrst"), 29).tolist()) for _ in range(400)]  # 100 words an update
-    table = np.zeros((len(mixlm.ORDERS), 2, 1 << mixlm.TABLE_BITS), np.float32)
-    mixlm.count_bits(words, table)
-    whole = mixlm.learn_weights(words, table)[0]
-    learner = mixlm.Learner(np.tile(mixlm.START, (mixlm.GATES, 1)))
+    table = np.zeros((spelling.PREDICTORS, 2, 1 << spelling.TABLE_BITS), np.float32)
+    spelling.count_bits(words, table)
+    whole = spelling.learn_weights(words, table)[0]
+    learner = spelling.Learner(np.tile(spelling.START, (spelling.GATES, 1)))
     for k in (0, 200):
-        mixlm.learn_weights(words[k : k + 200], table, learner)
+        spelling.learn_weights(words[k : k + 200], table, learner)
     assert np.array_equal(learner.weights, whole) and learner.steps == 32
-    # Rounds: the slices tile all words, and the second starts where the first ended.
-    monkeypatch.setattr(mixlm, "ROUND_WORDS", 200)
-    slices = mixlm.round_slices(400)
-    assert len(slices) > 1 and slices[0][0] == 0 and slices[-1][1] == 1 << 20 and all(a[1] == b[0] for a, b in zip(slices, slices[1:], strict=False))
-    assert len(mixlm.round_slices(100_000)) > len(mixlm.round_slices(10_000))
-    df = spark.createDataFrame([(bytearray(w), 1) for w in words], "word binary, c long").coalesce(1).cache()
-    learner = mixlm.Learner(np.tile(mixlm.START, (mixlm.GATES, 1)))
-    place = F.pmod(F.xxhash64("word", F.lit(11)), F.lit(1 << 20))
-    for low, high in slices:
-        mixlm.learn_weights([bytes(r.word) for r in df.where((place >= low) & (place < high)).collect()], table, learner)
-    assert np.allclose(mixlm.fit_bit_model(df, 1, 400).weights, learner.weights)
 
 
 def test_mix_scores_columns(docs_of, odd):
@@ -292,9 +299,13 @@ def test_pipeline_stages(spark, docs_of, tmp_path):
     assert left.where("doc_id = 172").first().text == 'x [secret]" y' and tuple(left.columns) == cp.COLUMNS
     sizes = {r.doc_id: len(WORD.findall(r.text or "")) for r in left.cache().collect()}
     mixed = cp.mix_sources(spark, left, d)
-    taken = Counter()
+    taken, by_source, inside = Counter(), Counter(), {(r.doc_id, r.text) for r in left.collect()}
     for r in mixed.collect():
+        assert (r.doc_id, r.text) in inside  # whole documents alone
         taken[r.doc_id] += len(WORD.findall(r.text))
-    assert all(n <= 3 * sizes[k] for k, n in taken.items()) and abs(sum(taken.values()) - sum(sizes.values())) < 10
+        by_source[r.source] += len(WORD.findall(r.text))
+    assert all(n <= 3 * sizes[k] for k, n in taken.items())
+    wanted = {r.source: r.target for r in mixing.mix_to_targets(left).collect()}
+    assert all(abs(by_source[k] - v) <= max(sizes.values()) for k, v in wanted.items())
     assert cp.run(spark, d).count() == mixed.count()
     assert {c for _, f in cp.STAGES[:-1] for c in f(spark, docs.limit(0), d).columns} == set(cp.COLUMNS)
