@@ -1,10 +1,12 @@
 """Exact top-k inner products by dual-tree search over cover trees.
 
-Rows are packed into blocks of at most ``BLOCK`` vectors; each block carries a cover
-tree (children lie within the parent's covering radius and apart from each other) and
-is written to the shared checkpoint folder once. Queries are taken in chunks of at most
-``CHUNK`` rows; a chunk gets a cover tree of its own and meets every block. For nodes Q
-and R with centres q, r and covering radii a, b no pair below them scores more than
+Rows are packed into blocks of at most ``BLOCK`` vectors and queries into chunks of at most
+``CHUNK``; each carries a cover tree (children lie within the parent's covering radius and
+apart from each other) that is built once and written with it to the shared checkpoint
+folder. Chunks and groups of blocks meet in cells, one grouped task each, so neither side
+is on the driver or in every task, and a block goes only to chunks that its root's bound
+allows. For nodes Q and R with centres q, r and covering radii a, b no pair below them
+scores more than
 
     <q, r> + a |r| + b |q| + a b,
 
@@ -15,6 +17,7 @@ scores start from a seed of rows scored exactly, so blocks prune from the first
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,9 +25,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from arterial.llm.common import checkpointed
+from arterial.llm.common import Tables
 
 BLOCK, CHUNK, SEED_ROWS = 4096, 16384, 2048
+#: Blocks of a cell, at most about; chunks up to which their roots go to every task.
+CELL_BLOCKS, ROOTS = 16, 4096
 LEAF, FAN_OUT, BASE = 32, 32, 1.5
 #: Rows of leaves, best bounds first, that meet a query group between two looks at its worst score.
 STEP_ROWS = 1024
@@ -72,6 +77,20 @@ class CoverTree:
         self.order = np.concatenate(order) if order else np.zeros(0, np.int64)
         self.norm = np.sqrt((x[self.centre] ** 2).sum(1)) if len(x) else np.zeros(0)
 
+    _PARTS = ("centre", "radius", "first", "last", "start", "stop", "order", "norm")
+
+    def packed(self) -> bytes:
+        """The tree without its rows."""
+        return pickle.dumps([getattr(self, p) for p in self._PARTS])
+
+    @classmethod
+    def unpacked(cls, tree: bytes, x: np.ndarray) -> CoverTree:
+        out = cls.__new__(cls)
+        out.x = x
+        for p, v in zip(cls._PARTS, pickle.loads(tree), strict=True):
+            setattr(out, p, v)
+        return out
+
     def rows(self, nodes: np.ndarray) -> np.ndarray:
         return np.concatenate([self.order[self.start[n] : self.stop[n]] for n in nodes])
 
@@ -161,22 +180,27 @@ def _search_big(q: np.ndarray, x: np.ndarray, ids: np.ndarray, top: TopK) -> dic
     return best
 
 
-def _blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    held: dict[int, list] = {}
+def _packing(size: int):
+    """Packs rows (id, v) of one length into blocks of at most ``size``, each with its tree."""
 
     def packed(dim: int, rows: list) -> pd.DataFrame:
         ids = np.array([r[0] for r in rows], np.int64)
         x = np.array([r[1] for r in rows], np.int64).reshape(len(rows), dim)
-        return pd.DataFrame({"dim": [dim], "ids": [ids.tobytes()], "x": [x.tobytes()]})
+        tree = CoverTree(x.astype(float)).packed() if exact_scores(x, x) else None
+        return pd.DataFrame({"dim": [dim], "ids": [ids.tobytes()], "x": [x.tobytes()], "tree": [tree]})
 
-    for f in frames:
-        for i, v in zip(f["id"], f["v"], strict=True):
-            rows = held.setdefault(len(v), [])
-            rows.append((i, v))
-            if len(rows) == BLOCK:
-                yield packed(len(v), held.pop(len(v)))
-    for dim, rows in held.items():
-        yield packed(dim, rows)
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, list] = {}
+        for f in frames:
+            for i, v in zip(f["id"], f["v"], strict=True):
+                rows = held.setdefault(len(v), [])
+                rows.append((i, v))
+                if len(rows) == size:
+                    yield packed(len(v), held.pop(len(v)))
+        for dim, rows in held.items():
+            yield packed(dim, rows)
+
+    return run
 
 
 def _unpack(dim: int, ids: bytes, x: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -202,50 +226,102 @@ def top_k_products(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str
     empty result. Scores beyond 64 bits are held to the largest 64-bit number.
     """
     spark = vectors.sparkSession
+    tables = Tables(spark)
     whole = quantised(vectors, id_col, vector_col, scale)
-    blocks = checkpointed(whole.mapInPandas(_blocks, "dim int, ids binary, x binary"))
     queries = whole.where(F.col("id") % every == 0)
     n = queries.count()
-    chunks = max(1, math.ceil(n / CHUNK))
+    chunks, made = max(1, math.ceil(n / CHUNK)), "dim int, ids binary, x binary, tree binary"
     # The seed: rows of the first blocks' heads, a bounded number.
-    seed_rows = whole.limit(SEED_ROWS).toPandas() if n else pd.DataFrame({"id": [], "v": []})
-    found = None
-    for c in range(chunks):
-        part = queries.where(F.pmod(F.xxhash64("id", "v"), F.lit(chunks)) == c).toPandas()
-        by_dim = {}
-        for dim, rows in part.groupby(part["v"].map(len)) if len(part) else ():
-            ids, x = rows["id"].to_numpy(np.int64), np.array(rows["v"].tolist(), np.int64).reshape(len(rows), dim)
-            # Queries that share an id share one list: only a query alone under its id may prune by the seed's kth score.
-            by_dim[dim] = (ids, x, _floor(ids, x, seed_rows[seed_rows["v"].map(len) == dim], dim, k))
-        shared = spark.sparkContext.broadcast(by_dim)
-
-        def search(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            trees = {}
-            for f in frames:
-                for dim, i, x in f.itertuples(index=False):
-                    if dim not in shared.value:
-                        continue
-                    qids, qx, floor = shared.value[dim]
-                    ids, rows = _unpack(dim, i, x)
-                    top = TopK(qids, k, floor)
-                    if exact_scores(qx, rows):
-                        if dim not in trees:
-                            trees[dim] = CoverTree(qx.astype(float))
-                        dual_search(trees[dim], CoverTree(rows.astype(float)), ids, top)
-                        q, col = np.nonzero((top.score >= floor[:, None]) & ~np.isneginf(top.score))
-                        out = (qids[q], top.id[q, col], top.score[q, col].astype(np.int64))
-                    else:
-                        best = [(qids[q], i, s) for q, b in _search_big(qx, rows, ids, top).items() for s, i in b]
-                        out = tuple(np.array(v, np.int64) for v in zip(*best, strict=True)) if best else (np.zeros(0, np.int64),) * 3
-                    yield pd.DataFrame({"query_id": out[0], "vec_id": out[1], "score": out[2]})
-
-        near = blocks.mapInPandas(search, "query_id long, vec_id long, score long")
-        found = near if found is None else found.unionByName(near)
+    seed = whole.limit(SEED_ROWS).toPandas() if n else pd.DataFrame({"id": [], "v": []})
+    shared = spark.sparkContext.broadcast(seed)
+
+    def floors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for dim, i, x in f[["dim", "ids", "x"]].itertuples(index=False):
+                ids, rows = _unpack(dim, i, x)
+                out.append(_floor(ids, rows, shared.value[shared.value["v"].map(len) == dim], dim, k).tobytes())
+            yield f.assign(floor=out)
+
+    own = queries.repartition(chunks, "id").mapInPandas(_packing(CHUNK), made).mapInPandas(floors, made + ", floor binary")
+    met = tables.keep(own.withColumn("i", F.monotonically_increasing_id()))
+    blocks = tables.keep(whole.mapInPandas(_packing(BLOCK), made)) if n else met.select("dim", "ids", "x", "tree")
+    shared.destroy()
+    n_blocks = blocks.count()
+    groups = max(1, min(n_blocks, max(math.ceil(n_blocks / CELL_BLOCKS), 2 * spark.sparkContext.defaultParallelism)))
+    dealt = blocks.withColumn("j", F.pmod(F.xxhash64("ids", "x"), F.lit(groups)))
+    if met.count() <= ROOTS:
+        roots = spark.sparkContext.broadcast(met.mapInPandas(_roots, "i long, dim int, centre binary, radius double, norm double, floor double").toPandas())
+        right = dealt.mapInPandas(_meeting(roots), made + ", j long, i long")
+    else:
+        right = dealt.join(met.select("i", "dim"), "dim")
+    left = met.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<long>")))
+    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(_searching(k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def _roots(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of each chunk the root's centre, its covering radius and norm, and the least kth score promised."""
+    for f in frames:
+        rows = []
+        for r in f.itertuples(index=False):
+            ids, x = _unpack(r.dim, r.ids, r.x)
+            if r.tree is None:  # met by all blocks
+                rows.append((r.i, r.dim, b"", np.inf, 0.0, -np.inf))
+            else:
+                t = CoverTree.unpacked(r.tree, x)
+                rows.append((r.i, r.dim, x[t.centre[0]].astype(float).tobytes(), t.radius[0], t.norm[0], np.frombuffer(r.floor).min()))
+        yield pd.DataFrame(rows, columns=["i", "dim", "centre", "radius", "norm", "floor"])
+
+
+def _meeting(roots):
+    """Every block once for each chunk of its length that its root's bound allows."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for at in range(len(f)):
+                block = f.iloc[at : at + 1]
+                dim, tree = block["dim"].iloc[0], block["tree"].iloc[0]
+                own = roots.value[roots.value["dim"] == dim]
+                if tree is not None and len(own):
+                    _, x = _unpack(dim, block["ids"].iloc[0], block["x"].iloc[0])
+                    t = CoverTree.unpacked(tree, x)
+                    r, b = x[t.centre[0]].astype(float), t.radius[0]
+                    dots = np.array([np.frombuffer(c) @ r if c else 0.0 for c in own["centre"]])
+                    most = dots + own["radius"] * t.norm[0] + b * own["norm"] + own["radius"] * b
+                    own = own[~(most + 1e-9 * np.abs(most) + 1e-6 < own["floor"])]
+                for i in own["i"]:
+                    yield block.assign(i=i)
+
+    return run
+
+
+def _searching(k: int):
+    """The best k of a cell for each of its queries, as far as they can be among the best of all."""
+
+    def run(chunk: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
+        out = [(np.zeros(0, np.int64),) * 3]
+        for c in chunk.itertuples(index=False):
+            qids, qx = _unpack(c.dim, c.ids, c.x)
+            floor = np.frombuffer(c.floor)
+            top, tree = TopK(qids, k, floor), None
+            for b in blocks.itertuples(index=False):
+                ids, rows = _unpack(b.dim, b.ids, b.x)
+                if c.tree is not None and b.tree is not None and exact_scores(qx, rows):
+                    tree = tree or CoverTree.unpacked(c.tree, qx.astype(float))
+                    dual_search(tree, CoverTree.unpacked(b.tree, rows.astype(float)), ids, top)
+                else:
+                    best = [(qids[q], i, s) for q, found in _search_big(qx, rows, ids, top).items() for s, i in found]
+                    out += [tuple(np.array(v, np.int64) for v in zip(*best, strict=True))] if best else []
+            q, col = np.nonzero((top.score >= floor[:, None]) & ~np.isneginf(top.score))
+            out.append((qids[q], top.id[q, col], top.score[q, col].astype(np.int64)))
+        return pd.DataFrame({name: np.concatenate([o[at] for o in out]) for at, name in enumerate(("query_id", "vec_id", "score"))})
+
+    return run
+
+
 def _floor(ids: np.ndarray, x: np.ndarray, seed: pd.DataFrame, dim: int, k: int) -> np.ndarray:
     """For each query the kth best score over the seed rows, which its true kth can't be below."""
     floor = np.full(len(ids), -np.inf)
