@@ -21,11 +21,19 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 #: Ids to remove, up to which they are broadcast; above, they are joined.
 BROADCAST_IDS = 500_000
+FRAME_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_frames(spark: SparkSession) -> None:
+    """Python workers get texts in frames of 16 MB at most, unless less is set: five stages share them."""
+    if spark.conf.get(FRAME_BYTES) == "67108864b":  # Spark's own
+        spark.conf.set(FRAME_BYTES, "16m")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below 0.5. Null and empty texts score as texts
     without words; repeated rows are judged alike. An empty table stays empty."""
+    small_frames(spark)
     machine = fit_toxicity(docs, table(spark, sf_dir, "labels"))
     return score_toxicity(docs.select(*COLUMNS), machine).where("predicted = 0").select(*COLUMNS)
 
