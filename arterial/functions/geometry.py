@@ -65,8 +65,10 @@ def utm_zone(lon: Column) -> Column:
     return (F.floor((lon + 180.0) / 6.0) + 1).cast("int")
 
 
-def utm(lon: Column, lat: Column, zone: Column | None = None) -> tuple[Column, Column]:
-    """Easting and northing on WGS 84 by the Krueger series to the third order."""
+def utm(lon: Column, lat: Column, zone: Column | None = None, south: Column | None = None) -> tuple[Column, Column]:
+    """Easting and northing on WGS 84 by the Krueger series to the third order; the zone and
+    the half of the globe are each point's own unless given."""
+    south = lat < 0 if south is None else south
     zone = utm_zone(lon) if zone is None else zone
     f = 1 / 298.257223563
     n = f / (2 - f)
@@ -80,7 +82,7 @@ def utm(lon: Column, lat: Column, zone: Column | None = None) -> tuple[Column, C
     for k, c in enumerate(alpha, 1):
         east = east + c * F.cos(2 * k * xi) * F.sinh(2 * k * eta)
         north = north + c * F.sin(2 * k * xi) * F.cosh(2 * k * eta)
-    return 500000.0 + 0.9996 * a_bar * east, F.when(lat < 0, 10000000.0).otherwise(0.0) + 0.9996 * a_bar * north
+    return 500000.0 + 0.9996 * a_bar * east, F.when(south, 10000000.0).otherwise(0.0) + 0.9996 * a_bar * north
 
 
 def great_circle(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
@@ -103,8 +105,9 @@ def point_segment(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by
     return F.sqrt(ex * ex + ey * ey)
 
 
-def clipped_length(ax: Column, ay: Column, bx: Column, by: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
-    """Length of a segment inside a closed rectangle, by the parameters at which it enters and leaves."""
+def clipped_span(ax: Column, ay: Column, bx: Column, by: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> tuple[Column, Column]:
+    """Where a segment enters and leaves a closed rectangle, as shares of its length; it misses
+    the rectangle where it leaves before it enters."""
 
     def span(a: Column, b: Column, low: Column, high: Column) -> tuple[Column, Column]:
         d = b - a
@@ -114,8 +117,24 @@ def clipped_length(ax: Column, ay: Column, bx: Column, by: Column, x1: Column, y
         return enter, leave
 
     (ex, lx), (ey, ly) = span(ax, bx, x1, x2), span(ay, by, y1, y2)
-    share = F.least(F.lit(1.0), lx, ly) - F.greatest(F.lit(0.0), ex, ey)
-    return F.greatest(F.lit(0.0), share) * F.sqrt((bx - ax) * (bx - ax) + (by - ay) * (by - ay))
+    return F.greatest(F.lit(0.0), ex, ey), F.least(F.lit(1.0), lx, ly)
+
+
+def with_crossed_cells(segments: DataFrame, cell: float | Column, reach: float = 0.0) -> DataFrame:
+    """``segments`` (ax, ay, bx, by, ...), a row for each cell (cx, cy) of a square grid in which
+    a point within ``reach`` of the segment may lie.
+
+    Column by column, only the cells beside the segment's course there: their number follows
+    its length, not the area of its bounds."""
+    cell = F.lit(float(cell)) if isinstance(cell, (int, float)) else cell
+    low, high = F.least("ax", "bx") - reach, F.greatest("ax", "bx") + reach
+    out = segments.withColumn("cx", F.explode(F.sequence(F.floor(low / cell), F.floor(high / cell))))
+    dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
+    at = lambda x, end: F.when(dx == 0, end).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (x - F.col("ax")) / dx)))
+    one = F.col("ay") + at(F.col("cx") * cell - reach, 0.0) * dy
+    two = F.col("ay") + at((F.col("cx") + 1) * cell + reach, 1.0) * dy
+    slack = reach + cell * 1e-9  # roundings
+    return out.withColumn("cy", F.explode(F.sequence(F.floor((F.least(one, two) - slack) / cell), F.floor((F.greatest(one, two) + slack) / cell))))
 
 
 def contact_type(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:

@@ -39,6 +39,42 @@ def list_text(c: str) -> Column:
     return F.to_json(c)
 
 
+def is_close(a: Column, b: Column, atol: float = 1e-8, rtol: float = 1e-5) -> Column:
+    """Whether two numbers differ by ``atol`` and ``rtol`` of the second at most."""
+    return F.abs(a - b) <= F.lit(atol) + F.lit(rtol) * F.abs(b)
+
+
+def binary_text(c: Column, width: int) -> Column:
+    """A whole number in binary, with zeros in front up to ``width`` digits; longer ones stay whole."""
+    bits = F.bin(c)
+    return F.when(F.length(bits) < width, F.lpad(bits, width, "0")).otherwise(bits)
+
+
+def tiled(array: Column, times: int) -> Column:
+    """An array ``times`` times end to end."""
+    return F.flatten(F.array_repeat(array, times))
+
+
+#: The modulus of ``uniform``.
+PRIME = 2147483647
+
+
+def uniform(seed: int, *numbers: Column) -> Column:
+    """A number between 0 and 1 that follows from a seed and whole numbers by plain arithmetic."""
+    h = F.lit(seed).cast("long")
+    for n in numbers:
+        h = F.pmod(h * 48271 + F.pmod(n.cast("long"), F.lit(PRIME)), F.lit(PRIME))
+    # Squares take the order out; a lambda holds the number, so that it is computed once.
+    for _ in range(3):
+        h = F.transform(F.array(h), lambda x: F.pmod(x * x + 40692, F.lit(PRIME)))[0]
+    return (h + 0.5) / float(PRIME)
+
+
+def normal(seed: int, *numbers: Column) -> Column:
+    """A normal deviate that follows from a seed and whole numbers."""
+    return F.sqrt(-2 * F.ln(uniform(2 * seed, *numbers))) * F.cos(2 * F.pi() * uniform(2 * seed + 1, *numbers))
+
+
 # Classes of road types. In both, a type not named is of class 1.
 EIGHT_LEVELS = {"motorway": 8, "trunk": 7, "primary": 6, "secondary": 5, "tertiary": 4, "unclassified": 3, "residential": 2}
 LINK_LEVELS = {

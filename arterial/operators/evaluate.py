@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arterial.functions import geometry as G
+from arterial.functions.crs import GEOGRAPHIC, ensure_crs, to_utm, utm_of
+from arterial.operators.iterate import cut
 
 
 def parts_of(roads: DataFrame, parts: str = "parts") -> DataFrame:
@@ -13,25 +15,72 @@ def parts_of(roads: DataFrame, parts: str = "parts") -> DataFrame:
     return roads.withColumnRenamed("fid", "orig_id").select("*", F.posexplode(parts).alias("part", "points")).drop(parts)
 
 
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """``rows`` with fid, counting from 0 in the given order.
+
+    Ranges of the order are counted, then numbered each by itself."""
+    ranged = cut(rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    sizes = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
+    # A row for each partition.
+    before = sizes.select("__range", (F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy("__range")) - F.col("__n")).alias("__before"))
+    at = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1
+    return ranged.withColumn("__at", at).join(F.broadcast(before), "__range").withColumn("fid", F.col("__before") + F.col("__at")).drop("__range", "__at", "__before")
+
+
+def single_lines(roads: DataFrame) -> DataFrame:
+    """Roads of one part (parts); null and empty geometries are none."""
+    return roads.where(F.size("parts") == 1)
+
+
+def chosen_multiparts(roads: DataFrame, ids: DataFrame, multipart_only: bool = False) -> DataFrame:
+    """Roads (fid, parts) whose fid is among ``ids`` (id). ``multipart_only`` leaves out those of one part."""
+    kept = roads.where(F.size("parts") > 1) if multipart_only else roads
+    return kept.join(ids.select(F.col("id").alias("fid")).distinct(), "fid", "left_semi")
+
+
 def matched_roads(roads: DataFrame, reference: DataFrame, reach: float = 100.0, tolerance: float = 30.0) -> DataFrame:
     """Distinct fid of ``roads`` (fid, points) with a vertex nearer than ``reach`` to a line of
     ``reference`` (points) whose direction there differs by ``tolerance`` degrees at most.
 
-    Reference segments are dealt to the cells of a grid that their bounds, widened by
-    ``reach``, touch; a vertex is looked up in its own cell alone. Cells are four times the
-    reach wide, so a short segment has few of them and a vertex one."""
+    Reference segments are dealt to the grid cells along their course, widened by ``reach``; a
+    vertex is looked up in its own cell alone, and done with at its first hit."""
     cell = 4 * reach
     vertex = roads.where(F.size("points") > 1).select("fid", F.explode(F.arrays_zip(F.col("points").alias("p"), G.vertex_directions("points").alias("d"))).alias("v"))
     vertex = vertex.select("fid", F.col("v.p.x").alias("x"), F.col("v.p.y").alias("y"), F.col("v.d").alias("d")).distinct()
     vertex = vertex.withColumn("cx", F.floor(F.col("x") / cell)).withColumn("cy", F.floor(F.col("y") / cell))
     s = reference.select(F.explode(G.segments_of("points")).alias("s")).select("s.*").distinct()
-    low = lambda a, b: F.floor((F.least(a, b) - reach) / cell)
-    high = lambda a, b: F.floor((F.greatest(a, b) + reach) / cell)
-    s = s.withColumn("cx", F.explode(F.sequence(low(F.col("ax"), F.col("bx")), high(F.col("ax"), F.col("bx")))))
-    s = s.withColumn("cy", F.explode(F.sequence(low(F.col("ay"), F.col("by")), high(F.col("ay"), F.col("by")))))
+    s = s.withColumn("along", G.direction(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")))
+    s = G.with_crossed_cells(s, cell, reach).withColumnsRenamed({"cx": "sx", "cy": "sy"})
     near = G.point_segment(*(F.col(c) for c in ("x", "y", "ax", "ay", "bx", "by"))) < reach
-    along = G.direction_gap(F.col("d"), G.direction(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))) <= tolerance
-    return vertex.join(s, ["cx", "cy"]).where(near & along).select("fid").distinct()
+    along = G.direction_gap(F.col("d"), F.col("along")) <= tolerance
+    met = (F.col("cx") == F.col("sx")) & (F.col("cy") == F.col("sy")) & along & near
+    return vertex.join(s, met, "left_semi").select("fid").distinct()
+
+
+def road_match(roads: DataFrame, reference: DataFrame, road_crs: str | None = None, reference_crs: str | None = None, reach: float = 100.0, tolerance: float = 30.0) -> tuple[DataFrame, DataFrame]:
+    """(fid of matched roads, one row total_length, matched_length, coverage) of multipart roads
+    (fid, parts) against reference roads (fid, parts).
+
+    Degrees are projected to metres, parts become lines, and reference lines whose bounds
+    miss those of the roads, widened by ``reach``, are left out."""
+    lines, other = (parts_of(ensure_crs(x, "parts", c)).select(F.col("orig_id").alias("fid"), "points") for x, c in ((roads, road_crs), (reference, reference_crs)))
+    bounds = G.total_bounds(lines.select(F.explode("points").alias("p")).select("p.x", "p.y"))
+    matched = matched_roads(lines, in_bounds(other, bounds, reach), reach, tolerance)
+    return matched, coverage(lines, matched)
+
+
+def density_report(roads: DataFrame, part: DataFrame, crs: str | None = None, rows: int = 10, cols: int = 10) -> DataFrame:
+    """One row of density metrics of a selection (points) against all roads (points), on a grid
+    over the bounds of all roads; degrees are projected to the UTM zone of their middle.
+
+    Layers without roads give a row of counts alone."""
+    if crs is None or crs == GEOGRAPHIC:
+        middle = G.total_bounds(roads.select(F.explode("points").alias("p")).select("p.x", "p.y")).first()  # one row
+        if middle["minx"] is not None:
+            zone, south = utm_of(middle["minx"], middle["miny"], middle["maxx"], middle["maxy"])
+            roads, part = to_utm(roads, zone, south), to_utm(part, zone, south)
+    bounds = G.total_bounds(roads.select(F.explode("points").alias("p")).select("p.x", "p.y"))
+    return density_metrics(density_pairs(grid_density(roads, bounds, rows, cols), grid_density(part, bounds, rows, cols)))
 
 
 def coverage(roads: DataFrame, matched: DataFrame) -> DataFrame:
@@ -63,7 +112,8 @@ def grid(bounds: DataFrame, rows: int = 10, cols: int = 10) -> DataFrame:
 def grid_density(roads: DataFrame, bounds: DataFrame, rows: int = 10, cols: int = 10) -> DataFrame:
     """(grid_id, road_length, density) for every cell; roads (points).
 
-    Segments that are the same count once; lines that overlap in part count each."""
+    Lines are united: where segments of one straight line overlap, whole or in part, the
+    overlap counts once (lines are alike up to the ninth digit of course and offset)."""
     s = roads.select(F.explode(G.segments_of("points")).alias("s")).select("s.*")
     # A segment and its reverse are one: the smaller end comes first.
     one, two = F.struct(F.col("ax").alias("x"), F.col("ay").alias("y")), F.struct(F.col("bx").alias("x"), F.col("by").alias("y"))
@@ -77,8 +127,17 @@ def grid_density(roads: DataFrame, bounds: DataFrame, rows: int = 10, cols: int
     s = s.withColumn("gi", F.explode(F.sequence(at(F.least("ay", "by"), "miny", dy, rows, -1), at(F.greatest("ay", "by"), "miny", dy, rows, 1))))
     cells = grid(bounds, rows, cols)
     inside = s.join(F.broadcast(cells), ["gi", "gj"])  # rows * cols cells
-    length = G.clipped_length(*(F.col(c) for c in ("ax", "ay", "bx", "by", "x1", "y1", "x2", "y2")))
-    sums = inside.groupBy("grid_id").agg(F.sum(length).alias("road_length"))
+    enter, leave = G.clipped_span(*(F.col(c) for c in ("ax", "ay", "bx", "by", "x1", "y1", "x2", "y2")))
+    dx_, dy_ = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
+    inside = inside.select("grid_id", "ax", "ay", "bx", "by", enter.alias("enter"), leave.alias("leave"), F.sqrt(dx_ * dx_ + dy_ * dy_).alias("len")).where("leave > enter")
+    # A straight line by its course and its distance from the origin, places along it.
+    ux, uy = dx_ / F.col("len"), dy_ / F.col("len")
+    line = [(F.round(c, 9) + 0.0).alias(n) for c, n in ((ux, "ux"), (uy, "uy"), (F.col("ax") * uy - F.col("ay") * ux, "off"))]
+    start = F.col("ax") * ux + F.col("ay") * uy
+    pieces = inside.select("grid_id", *line, (start + F.col("enter") * F.col("len")).alias("p"), (start + F.col("leave") * F.col("len")).alias("q"), ((F.col("leave") - F.col("enter")) * F.col("len")).alias("own"))
+    upto = F.max("q").over(Window.partitionBy("grid_id", "ux", "uy", "off").orderBy("p", "q").rowsBetween(Window.unboundedPreceding, -1))
+    new = pieces.withColumn("upto", upto).withColumn("new", F.when(F.col("upto").isNull() | (F.col("upto") <= F.col("p")), F.col("own")).otherwise(F.greatest(F.lit(0.0), F.col("q") - F.col("upto"))))
+    sums = new.groupBy("grid_id").agg(F.sum("new").alias("road_length"))
     out = cells.join(sums, "grid_id", "left").withColumn("road_length", F.coalesce("road_length", F.lit(0.0)))
     return out.select("grid_id", "area", "road_length", F.when(F.col("area") == 0, 0.0).otherwise(F.col("road_length") / F.col("area")).alias("density"))
 

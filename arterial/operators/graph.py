@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arterial.functions import scalar as S
+
 
 def shared_key_edges(members: DataFrame, node: str, key: str) -> DataFrame:
     """(src, dst): distinct pairs of nodes that share a key, in both directions, no self pairs."""
@@ -20,27 +22,21 @@ def vertex_edges(roads: DataFrame, id_col: str = "fid", points: str = "points")
     return v.withColumnRenamed("n", "src").join(v.withColumnRenamed("n", "dst"), "p").where("src < dst").select("src", "dst").distinct()
 
 
-def min_max(x: str) -> Column:
-    """Min-max scaled column over all rows; 0 where all are equal."""
-    lo, hi = F.min(x).over(Window.partitionBy()), F.max(x).over(Window.partitionBy())
-    return F.when(hi == lo, F.lit(0.0)).otherwise((F.col(x) - lo) / (hi - lo))
-
-
 def similarity(nodes: DataFrame, features: Sequence[str] = ("length",), noise: float = 0.0, seed: int = 7) -> DataFrame:
     """(id, sim): 1 minus the distance to the best corner of the scaled features, over the
     largest distance; 1 for all when all distances are 0.
 
-    ``noise``: a normal deviate for each node, shared by its features; scaled values
-    are moved up when one falls below 0. Extremes are one-row aggregates, joined back."""
-    cols = [F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features]
+    A feature that the nodes don't have counts 0. ``noise``: a normal deviate for each node
+    (ids are whole numbers then), shared by its features; scaled values are moved up when one
+    falls below 0. Extremes are one-row aggregates, joined back."""
+    cols = [(F.coalesce(F.col(f).cast("double"), F.lit(0.0)) if f in nodes.columns else F.lit(0.0)).alias(f) for f in features]
     x = nodes.select("id", *cols)
     ends = x.agg(*[F.min(f).alias(f"{f}_lo") for f in features], *[F.max(f).alias(f"{f}_hi") for f in features])
     x = x.crossJoin(F.broadcast(ends))  # one row
     scaled = [F.when(F.col(f"{f}_hi") == F.col(f"{f}_lo"), 0.0).otherwise((F.col(f) - F.col(f"{f}_lo")) / (F.col(f"{f}_hi") - F.col(f"{f}_lo"))).alias(f) for f in features]
     x = x.select("id", *scaled)
     if noise:
-        u = lambda k: (F.pmod(F.xxhash64("id", F.lit(seed), F.lit(k)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-        deviate = F.sqrt(-2 * F.ln(u(1))) * F.cos(2 * F.pi() * u(2)) * F.lit(float(noise))
+        deviate = S.normal(seed, F.col("id")) * F.lit(float(noise))
         x = x.select("id", *[(F.col(f) + deviate).alias(f) for f in features])
         low = x.agg(*[F.least(F.min(f), F.lit(0.0)).alias(f"{f}_low") for f in features])
         x = x.crossJoin(F.broadcast(low)).select("id", *[(F.col(f) - F.col(f"{f}_low")).alias(f) for f in features])
@@ -62,6 +58,30 @@ def transition(edges: DataFrame, sim: DataFrame) -> DataFrame:
     return e.join(out, "src").select("src", "dst", F.when(F.col("out") == 0, 0.0).otherwise(F.col("sim") / F.col("out")).alias("p"))
 
 
+def sum_normalised(nodes: DataFrame, value: str) -> DataFrame:
+    """(id, value): each value over the sum of all; 0 for all where the sum is 0."""
+    total = nodes.agg(F.sum(F.col(value).cast("double")).alias("total"))
+    share = F.when(F.abs("total") <= 1e-15, 0.0).otherwise(F.col(value).cast("double") / F.col("total"))
+    return nodes.crossJoin(F.broadcast(total)).select("id", share.alias("value"))  # one row
+
+
+#: Nodes up to which a dense matrix is made.
+DENSE_NODES = 5_000
+
+
+def damped(p: DataFrame, nodes: DataFrame, alpha: float = 0.85, value: str = "p") -> DataFrame:
+    """(src, dst, ``value``): alpha times the value plus (1 - alpha) / n, for every pair of nodes (id).
+
+    A dense matrix by its nature, so only for up to ``DENSE_NODES`` nodes; ``rank.pagerank`` and
+    ``rank.quantum_pagerank`` damp without one."""
+    ids = nodes.select("id").distinct()
+    n = ids.count()
+    if n > DENSE_NODES:
+        raise ValueError(f"{n} nodes make too large a dense matrix")
+    cells = ids.select(F.col("id").alias("src")).crossJoin(F.broadcast(ids.select(F.col("id").alias("dst"))))
+    return cells.join(p, ["src", "dst"], "left").select("src", "dst", (alpha * F.coalesce(value, F.lit(0.0)) + (1 - alpha) / max(n, 1)).alias(value))
+
+
 def adjacency(p: DataFrame) -> DataFrame:
     """(src, dst, a): 1 where p is not 0."""
     return p.where("p <> 0").select("src", "dst", F.lit(1.0).alias("a"))

@@ -9,11 +9,15 @@ from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df computed once, its lineage cut by a checkpoint in the folder that the session names
-    in spark.checkpoint.dir (a temporary one where none is set, as in tests)."""
+    """df computed once, its lineage cut by a checkpoint in the folder that the session names in
+    spark.checkpoint.dir; a temporary one where none is set and all runs in one process, as in
+    tests. A cluster without the setting is an error, as its machines share no such folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="arterial-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and sc.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="arterial-"))
     return df.checkpoint()
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -9,9 +10,11 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from arterial.functions import scalar as S
+
 
 @dataclass
 class SageLayer:
@@ -75,9 +78,28 @@ def road_scores(parts: DataFrame) -> DataFrame:
 
 def feature_noise(x: DataFrame, noise: float, seed: int = 7) -> DataFrame:
     """Features times 1 + noise * a normal deviate, seeded by id and place, so reruns agree."""
-    u = lambda k, s: (F.pmod(F.xxhash64("id", k, F.lit(seed + s)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    z = lambda k: F.sqrt(-2 * F.ln(u(k, 0))) * F.cos(2 * F.pi() * u(k, 1))
-    return x.withColumn("x", F.transform("x", lambda v, k: v * (1 + noise * z(k))))
+    return x.withColumn("x", F.transform("x", lambda v, k: v * (1 + noise * S.normal(seed, F.col("id"), k))))
+
+
+def compounded_noise(x: DataFrame, levels: Sequence[float], seed: int = 7) -> list[DataFrame]:
+    """The features under each noise level in turn, each level on top of those before it."""
+    out = []
+    for k, noise in enumerate(levels):
+        x = feature_noise(x, noise, seed + k)
+        out.append(x)
+    return out
+
+
+def save_model(spark: SparkSession, model: SageModel, path: str) -> None:
+    """The layers of a model as one JSON document."""
+    dense = lambda a: None if a is None else np.asarray(a).tolist()
+    layers = [{"own": dense(x.own), "neighbour": dense(x.neighbour), "bias": dense(x.bias), "norm": None if x.norm is None else [dense(v) for v in x.norm], "relu": x.relu} for x in model.layers]
+    spark.createDataFrame([(json.dumps(layers),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def load_model(spark: SparkSession, path: str) -> SageModel:
+    (text,) = (r[0] for r in spark.read.text(path, wholetext=True).collect())  # one small document
+    return SageModel([SageLayer(np.array(x["own"]), np.array(x["neighbour"]), np.array(x["bias"]), x["norm"] and tuple(map(np.array, x["norm"])), x["relu"]) for x in json.loads(text)])
 
 
 def split_masks(nodes: DataFrame, train: float = 0.7, val: float = 0.15, prime: int = 2654435761) -> DataFrame:

@@ -7,27 +7,28 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Value ranges that running totals are computed in, each by itself.
-RANGES = 64
-#: Tables up to this many rows are summed in one range.
+from arterial.operators.iterate import cut
+
+#: Rows of a range that running totals are computed in, about.
 ONE_RANGE_ROWS = 100_000
 
 
-def running(rows: DataFrame, amount: str) -> DataFrame:
-    """``rows`` (id, value, ...) with upto: the sum of ``amount`` in order of value and id, both
-    descending, this row included.
+def running(rows: DataFrame, amount: str, ids_descend: bool = True) -> DataFrame:
+    """``rows`` (id, value, ...) with upto: the sum of ``amount`` in order of value, descending, and
+    id, this row included.
 
-    Large tables are cut into ranges of the value at approximate quantiles: totals of the
-    ranges are summed in order, and only a range is ordered by a window."""
-    order = (F.desc("value"), F.desc("id"))
-    if rows.count() <= ONE_RANGE_ROWS:
+    Large tables are dealt to ranges of value and id, as many as their rows ask for, so that
+    equal values need not meet in one task: totals of the ranges are summed in order, and only a
+    range is ordered by a window."""
+    order = (F.desc("value"), F.desc("id") if ids_descend else F.asc("id"))
+    n = rows.count()
+    if n <= ONE_RANGE_ROWS:
         return rows.withColumn("upto", F.sum(amount).over(Window.partitionBy(F.lit(0)).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
-    edges = sorted(set(rows.approxQuantile("value", [k / RANGES for k in range(1, RANGES)], 0.002)), reverse=True)
-    placed = rows.withColumn("__range", sum(((F.col("value") <= e).cast("int") for e in edges), F.lit(0)))
+    placed = cut(rows.repartitionByRange(max(2, -(-n // ONE_RANGE_ROWS)), *order).withColumn("__range", F.spark_partition_id()))
     totals = placed.groupBy("__range").agg(F.sum(amount).alias("__t"))
     before = totals.withColumn("__before", F.coalesce(F.sum("__t").over(Window.partitionBy(F.lit(0)).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__t")
     inner = F.sum(amount).over(Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    # At most RANGES rows are broadcast.
+    # A row for each 100,000 is broadcast.
     return placed.withColumn("__in", inner).join(F.broadcast(before), "__range").withColumn("upto", F.col("__before") + F.col("__in")).drop("__range", "__in", "__before")
 
 

@@ -44,12 +44,17 @@ def read_nodes(spark: SparkSession, path: str, schema: str = NODE_SCHEMA) -> Dat
     return raw.select(*[cast(n, t) for n, t in fields])
 
 
-def read_edges(spark: SparkSession, path: str) -> DataFrame:
-    """(src, dst) from the second and third fields of a near table with a header."""
+def read_edges(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
+    """(src, dst) from the second and third fields of a near table. A line that isn't blank and
+    holds no two numbers there is an error, but for the first line of a file with a header."""
     parts = F.split(F.trim("value"), ",")
-    lines = spark.read.text(path)
-    pair = lines.select(F.trim(parts[1]).try_cast("int").alias("src"), F.trim(parts[2]).try_cast("int").alias("dst"))
-    return pair.where("src IS NOT NULL AND dst IS NOT NULL")
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    pair = lines.select("value", F.trim(F.get(parts, F.lit(1))).try_cast("int").alias("src"), F.trim(F.get(parts, F.lit(2))).try_cast("int").alias("dst"))
+    bad = F.col("src").isNull() | F.col("dst").isNull()
+    # A header has no numbers at all in these fields.
+    titles = F.lit(header) & F.col("src").isNull() & F.col("dst").isNull() & (F.size(F.split("value", ",")) > 2)
+    said = F.raise_error(F.concat(F.lit("not an edge: "), F.col("value")))
+    return pair.where(~(bad & titles)).select(F.when(bad, said.cast("int")).otherwise(F.col("src")).alias("src"), F.when(bad, said.cast("int")).otherwise(F.col("dst")).alias("dst"))
 
 
 def write_csv(df: DataFrame, path: str, delimiter: str = ",") -> None:
@@ -70,6 +75,16 @@ def result_documents(results: DataFrame) -> DataFrame:
     return results.groupBy("alpha", "noise").agg(F.to_json(F.transform(by, lambda x: x["id"])).alias("sortindex"), F.to_json(F.transform(values, lambda x: x["value"])).alias("value"))
 
 
+def write_document(results: DataFrame, path: str) -> None:
+    """The rankings (alpha, noise, id, value, position) as one JSON document
+    alpha -> noise -> {sortindex, value}, as ``read_ranking`` takes it."""
+    docs = result_documents(results.select(*(F.col(c).cast("string").alias(c) for c in ("alpha", "noise")), "id", "value", "position"))
+    inner = docs.groupBy("alpha").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("noise", F.struct("sortindex", "value"))))).alias("of"))
+    # One document: a list for each setting.
+    texts = inner.select("alpha", F.to_json("of").alias("of")).groupBy().agg(F.concat(F.lit("{"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("alpha", "of"))), lambda x: F.concat(F.lit('"'), x["alpha"], F.lit('": '), x["of"])), ", "), F.lit("}")).alias("value"))
+    texts.coalesce(1).write.mode("overwrite").text(path)
+
+
 def read_ranking(spark: SparkSession, path: str) -> DataFrame:
     """(alpha, noise, id, position) of a ranking document alpha -> noise -> {sortindex, value}."""
     text = spark.read.text(path, wholetext=True)

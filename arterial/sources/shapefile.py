@@ -7,7 +7,7 @@ the format is read from front to back; a folder of layers is read in parallel.
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -80,7 +80,7 @@ def read_shapefiles(spark: SparkSession, path: str, encoding: str = "utf-8") ->
 
 def encode_shapes(records: list[list[list[tuple[float, float]]]]) -> bytes:
     """The .shp bytes of polylines."""
-    body = b""
+    body: list[bytes] = []
     for k, parts in enumerate(records, 1):
         points = [p for part in parts for p in part]
         xs, ys = [p[0] for p in points], [p[1] for p in points]
@@ -90,10 +90,21 @@ def encode_shapes(records: list[list[list[tuple[float, float]]]]) -> bytes:
             n += len(part)
         shape = struct.pack("<i4dii", 3, min(xs), min(ys), max(xs), max(ys), len(parts), n) + struct.pack(f"<{len(parts)}i", *starts)
         shape += b"".join(struct.pack("<2d", *p) for p in points)
-        body += struct.pack(">ii", k, len(shape) // 2) + shape
+        body.append(struct.pack(">ii", k, len(shape) // 2) + shape)
     every = [p for r in records for part in r for p in part] or [(0.0, 0.0)]
     box = (min(p[0] for p in every), min(p[1] for p in every), max(p[0] for p in every), max(p[1] for p in every))
-    return struct.pack(">7i", 9994, 0, 0, 0, 0, 0, (100 + len(body)) // 2) + struct.pack("<2i8d", 1000, 3, *box, 0, 0, 0, 0) + body
+    size = 100 + sum(map(len, body))
+    return struct.pack(">7i", 9994, 0, 0, 0, 0, 0, size // 2) + struct.pack("<2i8d", 1000, 3, *box, 0, 0, 0, 0) + b"".join(body)
+
+
+def encode_index(shapes: bytes) -> bytes:
+    """The .shx bytes of .shp bytes: where each record begins, and its size."""
+    out, at = [], 100
+    while at + 8 <= len(shapes):
+        (words,) = struct.unpack_from(">i", shapes, at + 4)
+        out.append(struct.pack(">2i", at // 2, words))
+        at += 8 + 2 * words
+    return shapes[:24] + struct.pack(">i", 50 + 4 * len(out)) + shapes[28:100] + b"".join(out)
 
 
 def encode_attributes(rows: list[dict[str, str]], encoding: str = "utf-8") -> bytes:
@@ -104,3 +115,31 @@ def encode_attributes(rows: list[dict[str, str]], encoding: str = "utf-8") -> by
     for n in names:
         head += n.encode(encoding)[:10].ljust(11, b"\0") + b"C" + bytes(4) + bytes([width[n], 0]) + bytes(14)
     return head + b"\r" + b"".join(b" " + b"".join(r[n].encode(encoding).ljust(width[n]) for n in names) for r in rows) + b"\x1a"
+
+
+def write_shapefiles(roads: DataFrame, path: str, settings: Sequence[str] = ("method", "ratio", "alpha", "noise"), prj: str | None = None, encoding: str = "utf-8") -> list[str]:
+    """One layer for each setting of ``roads`` (settings..., fid, fields..., parts), named by its
+    settings joined by underscores; returns their names.
+
+    A layer is encoded by one task, as its files are one each, and its bytes pass the driver one
+    layer at a time on their way to the folder, which may be in any store that Spark writes.
+    Fields become text; roads without points are left out; ``prj`` is written beside every layer."""
+    spark, fields = roads.sparkSession, [c for c in roads.columns if c not in (*settings, "parts")]
+    name = F.concat_ws("_", *(F.col(c).cast("string") for c in settings)).alias("name")
+    rows = roads.where(F.size(F.flatten("parts")) > 0).select(name, *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in fields), "parts")
+
+    def encode(key, f: pd.DataFrame) -> pd.DataFrame:
+        f = f.iloc[f["fid"].map(lambda v: (len(v), v)).argsort(kind="stable")] if "fid" in fields else f
+        shp = encode_shapes([[[(p["x"], p["y"]) for p in part] for part in parts if len(part)] for parts in f["parts"]])
+        return pd.DataFrame({"name": [key[0]], "shp": [shp], "shx": [encode_index(shp)], "dbf": [encode_attributes(f[fields].to_dict("records"), encoding)]})
+
+    sc, names = spark.sparkContext, []
+    for r in rows.groupBy("name").applyInPandas(encode, "name string, shp binary, shx binary, dbf binary").toLocalIterator():
+        sidecars = {"cpg": encoding.upper().encode(), **({} if prj is None else {"prj": prj.encode()})}
+        for suffix, data in {"shp": r["shp"], "shx": r["shx"], "dbf": r["dbf"], **sidecars}.items():
+            to = sc._jvm.org.apache.hadoop.fs.Path(f"{path}/{r['name']}.{suffix}")
+            out = to.getFileSystem(sc._jsc.hadoopConfiguration()).create(to, True)
+            out.write(bytes(data))
+            out.close()
+        names.append(r["name"])
+    return sorted(names)

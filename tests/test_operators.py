@@ -197,3 +197,135 @@ def test_file_tables(spark, tmp_path):
     doc = files.result_documents(results).first()
     (tmp_path / "doc.json").write_text('{"0.85": {"0": {"sortindex": "%s", "value": "%s"}}}' % (doc.sortindex, doc.value))
     assert [r.id for r in files.read_ranking(spark, str(tmp_path / "doc.json")).orderBy("position").collect()] == [2, 1]
+
+
+def test_crossed_cells_cover_the_reach(spark):
+    rng = np.random.default_rng(8)
+    rows = [tuple(float(v) for v in rng.uniform(-5, 5, 4)) for _ in range(40)] + [(1.0, 1.0, 1.0, 4.0), (2.0, 2.0, 2.0, 2.0), (-3.0, 0.5, 3.0, 0.5)]
+    s = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, ax double, ay double, bx double, by double")
+    cells = {}
+    for r in G.with_crossed_cells(s, 0.5, 0.2).collect():
+        cells.setdefault(r.k, set()).add((r.cx, r.cy))
+    for k, (ax, ay, bx, by) in enumerate(rows):
+        for _ in range(200):
+            t, turn, far = rng.uniform(), rng.uniform(0, 2 * math.pi), rng.uniform(0, 0.2)
+            x, y = ax + t * (bx - ax) + far * math.cos(turn), ay + t * (by - ay) + far * math.sin(turn)
+            assert (math.floor(x / 0.5), math.floor(y / 0.5)) in cells[k]
+        boxes = (abs(bx - ax) / 0.5 + 3) * (abs(by - ay) / 0.5 + 3)
+        assert len(cells[k]) <= boxes
+
+
+def test_partial_overlaps_count_once(spark):
+    roads = lines(spark, (1, "", [(0, 0), (6, 0)]), (2, "", [(4, 0), (10, 0)]), (3, "", [(9, 0), (5, 0)]), (4, "", [(0, 10), (10, 10)]), (5, "", [(0, 0), (10, 10)]), (6, "", [(2, 2), (5, 5)]))
+    bounds = G.total_bounds(roads.select(F.explode("points").alias("p")).select("p.*"))
+    got = evaluate.grid_density(roads, bounds, 1, 1).first()
+    assert got.road_length == pytest.approx(20 + math.sqrt(200))
+
+
+def test_road_match_and_density_of_layers(spark):
+    part = "array<array<struct<x:double,y:double>>>"
+    pts = lambda *p: [{"x": float(x), "y": float(y)} for x, y in p]
+    roads = spark.createDataFrame([(1, [pts((0, 0), (0.01, 0)), pts((0.02, 0), (0.03, 0.0001))]), (2, [pts((0, 0.5), (0.01, 0.5))])], f"fid long, parts {part}")
+    reference = spark.createDataFrame([(7, [pts((0, 0.0005), (0.03, 0.0005))]), (8, [pts((50, 50), (51, 51))])], f"fid long, parts {part}")
+    matched, stats = evaluate.road_match(roads, reference)
+    got = stats.first()
+    assert [r.fid for r in matched.collect()] == [1] and got.matched_length == pytest.approx(0.02 * G.RADIUS * math.pi / 180, rel=1e-3)
+    assert got.coverage == pytest.approx(100 * 2 / 3, rel=1e-3)
+    assert evaluate.road_match(roads.limit(0), reference)[1].first().coverage == 0
+    flat = roads.select("fid", F.flatten("parts").alias("points"))
+    whole = evaluate.density_report(flat, flat).first()
+    assert whole.cells == 100 and whole.mean_retain == 1.0 and whole.r2 == pytest.approx(1.0)
+    assert [r.fid for r in evaluate.single_lines(roads).collect()] == [2]
+    ids = spark.createDataFrame([(1,), (2,), (2,)], "id long")
+    assert [r.fid for r in evaluate.chosen_multiparts(roads, ids, True).collect()] == [1] and evaluate.chosen_multiparts(roads, ids).count() == 2
+    numbered = evaluate.numbered(evaluate.parts_of(roads), "orig_id", "part").orderBy("fid").collect()
+    assert [(r.fid, r.orig_id, r.part) for r in numbered] == [(0, 1, 0), (1, 1, 1), (2, 2, 0)]
+
+
+def test_coordinate_systems(spark, tmp_path):
+    from arterial.functions import crs
+
+    assert crs.crs_of('GEOGCS["GCS_WGS_1984",DATUM["D"]]') == crs.GEOGRAPHIC and crs.crs_of('  PROJCS["UTM"]') == crs.PROJECTED
+    with pytest.raises(ValueError, match="no coordinate system"):
+        crs.crs_of(" ")
+    (tmp_path / "a.prj").write_text('GEOGCS["GCS_WGS_1984",DATUM["D"]]')
+    (tmp_path / "b.prj").write_text('LOCAL["x"]')
+    got = {r.name: r.kind for r in crs.read_prj(spark, str(tmp_path)).collect()}
+    assert got == {"GCS_WGS_1984": "geographic", "x": None}
+    assert crs.utm_of(113.0, 30.0, 115.0, 31.0) == (50, False) and crs.utm_of(-1.0, -3.0, -0.5, -1.0) == (30, True)
+
+
+def test_connectivity_of_selections(spark):
+    edges = [(a, b, 1.0) for a in range(5) for b in (a - 1, a + 1) if 0 <= b < 5] + [(0, 4, 1.0), (4, 0, 1.0)]
+    whole = spark.createDataFrame(edges, "s long, t long, w double")
+    parts = spark.createDataFrame([("all", *e) for e in edges] + [("line", *e) for e in edges if {e[0], e[1]} != {0, 4}] + [("one", 9, 8, 1.0)], "method string, s long, t long, w double")
+    got = {r.method: r.efficiency for r in paths.connectivity(whole, parts, ["method"]).collect()}
+    ring = lambda i, j: min((i - j) % 5, (j - i) % 5)
+    assert got["all"] == 1.0 and got["one"] == math.inf
+    assert got["line"] == pytest.approx(np.mean([ring(i, j) / abs(i - j) for i in range(5) for j in range(5) if i != j]))
+    pairs = spark.createDataFrame([(i, j) for i in range(20) for j in range(20)], "i long, j long")
+    assert paths.pair_sample(pairs, 7).collect() == paths.pair_sample(pairs.repartition(3), 7).collect()
+    with pytest.raises(RuntimeError, match="hops"):
+        paths.shortest_paths(whole, most_hops=1)
+
+
+def test_damping_and_metrics(spark):
+    from arterial.operators import graph, rank
+
+    nodes = spark.createDataFrame([(1, 2.0), (2, 6.0)], "id long, length double")
+    p = spark.createDataFrame([(1, 2, 1.0), (2, 1, 1.0)], "src long, dst long, p double")
+    assert {(r.src, r.dst): round(r.p, 9) for r in graph.damped(p, nodes, 0.8).collect()} == {(1, 1): 0.1, (1, 2): 0.9, (2, 1): 0.9, (2, 2): 0.1}
+    assert {r.id: r.value for r in graph.sum_normalised(nodes, "length").collect()} == {1: 0.25, 2: 0.75}
+    assert {r.value for r in graph.sum_normalised(nodes.withColumn("length", F.lit(0.0)), "length").collect()} == {0.0}
+    assert {r.id: r.sim for r in graph.similarity(nodes, ["length", "absent"]).collect()} == {1: 0.0, 2: 1.0}
+    states = [spark.createDataFrame([(1, 1, a), (1, 2, b)], "i long, j long, a double") for a, b in ((1.0, 0.0), (0.0, 1.0), (1.0, 0.0))]
+    got = rank.state_metrics(states).first()
+    assert (got.delta, got.angle) == pytest.approx((math.sqrt(2), 90.0)) and got.mean_abs == pytest.approx(1 / 6)
+    assert got.delta_mean == pytest.approx(math.hypot(1 / 6, 1 / 6)) and got.angle_mean == pytest.approx(math.degrees(math.acos(0.5 / math.hypot(0.5, 0.5) / math.hypot(2 / 3, 1 / 3))))
+    ties = spark.createDataFrame([(3, 1.0), (1, 1.0), (2, 5.0)], "id long, value double")
+    assert [r.id for r in rank.ranked(ties, ids_descend=False).orderBy("position").collect()] == [2, 1, 3]
+
+
+def test_noise_and_model_files(spark, tmp_path):
+    x = spark.range(2000).select(F.col("id"), F.array(F.lit(1.0), F.lit(2.0)).alias("x"))
+    seen = np.array([r.x[0] - 1 for r in sage.feature_noise(x, 0.1).collect()]) / 0.1
+    assert abs(seen.mean()) < 0.1 and 0.9 < seen.std() < 1.1 and abs(np.corrcoef(seen[1:], seen[:-1])[0, 1]) < 0.08
+    first, second = sage.compounded_noise(x, [0.1, 0.2])
+    assert first.first().x != second.first().x
+    layer = sage.SageLayer(np.eye(2), 2 * np.eye(2), np.ones(2), (np.ones(2), np.zeros(2), np.zeros(2), np.ones(2)), relu=False)
+    sage.save_model(spark, sage.SageModel([layer]), str(tmp_path / "m"))
+    back = sage.load_model(spark, str(tmp_path / "m")).layers[0]
+    assert np.array_equal(back.neighbour, layer.neighbour) and np.array_equal(back.norm[3], np.ones(2)) and not back.relu
+
+
+def test_more_scalars(spark):
+    got = spark.range(1).select(S.is_close(F.lit(1.0), F.lit(1.0 + 1e-9)), S.is_close(F.lit(1.0), F.lit(1.1)), S.binary_text(F.lit(5), 4), S.binary_text(F.lit(21), 4), S.tiled(F.array(F.lit(1), F.lit(2)), 2)).first()
+    assert list(got) == [True, False, "0101", "10101", [1, 2, 1, 2]]
+
+
+def test_shapefile_sink_round_trip(spark, tmp_path):
+    part = "array<array<struct<x:double,y:double>>>"
+    pts = lambda *p: [{"x": float(x), "y": float(y)} for x, y in p]
+    rows = [("c", "0.4", 1, "a", [pts((0, 0), (1, 1)), pts((2, 2), (3, 3))]), ("c", "0.4", 10, None, [pts((5, 5), (6, 6))]), ("c", "0.4", 2, "b", [pts((7, 7), (8, 8))]), ("q", "0.2", 1, "a", [pts((0, 0), (1, 1))]), ("q", "0.2", 3, "z", [])]
+    roads = spark.createDataFrame(rows, f"method string, ratio string, fid long, fclass string, parts {part}")
+    names = shapefile.write_shapefiles(roads, str(tmp_path / "out"), ["method", "ratio"], prj='GEOGCS["GCS_WGS_1984"]')
+    assert names == ["c_0.4", "q_0.2"] and (tmp_path / "out" / "q_0.2.prj").read_text().startswith("GEOGCS")
+    back = {}
+    for r in shapefile.read_shapefiles(spark, str(tmp_path / "out")).collect():
+        back.setdefault(r.layer.rsplit("/", 1)[1], []).append((r.fid, r.attributes["fid"], r.attributes["fclass"], [[(p.x, p.y) for p in q] for q in r.parts]))
+    assert sorted(back["c_0.4"]) == [(0, "1", "a", [[(0, 0), (1, 1)], [(2, 2), (3, 3)]]), (1, "2", "b", [[(7, 7), (8, 8)]]), (2, "10", "", [[(5, 5), (6, 6)]])]
+    shx = (tmp_path / "out" / "c_0.4.shx").read_bytes()
+    assert len(shx) == 100 + 3 * 8 and int.from_bytes(shx[100:104], "big") == 50
+
+
+def test_documents_and_bad_edges(spark, tmp_path):
+    results = spark.createDataFrame([("0.85", "0", 2, 0.7, 1), ("0.85", "0", 1, 0.3, 2), ("0.5", "0.1", 1, 0.9, 1)], "alpha string, noise string, id int, value double, position int")
+    files.write_document(results, str(tmp_path / "doc"))
+    back = files.read_ranking(spark, str(tmp_path / "doc")).collect()
+    assert sorted((r.alpha, r.noise, r.position, r.id) for r in back) == [("0.5", "0.1", 1, 1), ("0.85", "0", 1, 2), ("0.85", "0", 2, 1)]
+    (tmp_path / "e.txt").write_text("a,IN,NEAR\n1,1,2\n2,x,1\n\n")
+    with pytest.raises(Exception, match="not an edge: 2,x,1"):
+        files.read_edges(spark, str(tmp_path / "e.txt")).collect()
+    (tmp_path / "c.json").write_text('{"roadselect": {"global": {"noise": [0, 0.1]}, "applyu": {"alpha_s": [0.5], "max_iterations": 7}}}')
+    config = files.read_config(spark, str(tmp_path / "c.json"))
+    assert (config.noise, config.alphas, config.max_iterations, config.ratios) == ([0.0, 0.1], [0.5], 7, [0.2, 0.4, 0.6])
