@@ -138,6 +138,64 @@ def explode_parts(spark, d):
     return evaluate.parts_of(roads).select("orig_id", "part", F.size("points").alias("points"))
 
 
+def _parts(spark, d):
+    """Lines as roads of parts of eight points."""
+    parts = F.transform(F.sequence(F.lit(0), F.ceil(F.size("points") / 8).cast("int") - 1), lambda k: F.slice("points", k * 8 + 1, F.lit(8)))
+    return vector_lines(spark, d).select("fid", "label", parts.alias("parts"))
+
+
+def road_match(spark, d):
+    """Coverage of one half of the lines by the other, from degrees to metres."""
+    roads = _parts(spark, d)
+    stats = evaluate.road_match(roads.where("label < 5").drop("label"), roads.where("label >= 5").drop("label"), reach=500.0)[1]
+    return _rounded(stats, total_length=1, matched_length=1, coverage=4)
+
+
+def density_report(spark, d):
+    lines = vector_lines(spark, d)
+    return _rounded(evaluate.density_report(lines, lines.where("label < 5")), mean_retain=4, std_retain=4, pearson=4, r2=4)
+
+
+def connectivity(spark, d):
+    """Path efficiency of the trade of some regions against all trade."""
+    trade, parts = _trade(spark, d), None
+    for n in (3, 4):
+        keep = table(spark, d, "nation").where(f"n_regionkey < {n}").select(F.col("n_nationkey").alias("id"))
+        one = trade.join(keep.withColumnRenamed("id", "s"), "s", "left_semi").join(keep.withColumnRenamed("id", "t"), "t", "left_semi").select(F.lit(f"regions{n}").alias("method"), "s", "t", "w")
+        parts = one if parts is None else parts.unionByName(one)
+    return _rounded(paths.connectivity(trade, parts, ["method"]), efficiency=6)
+
+
+def sampled_pairs(spark, d):
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("i"))
+    return paths.pair_sample(n.crossJoin(F.broadcast(n.withColumnRenamed("i", "j"))), 100)  # 25 nations
+
+
+def damped_transition(spark, d):
+    trade = _trade(spark, d)
+    p = trade.join(trade.groupBy("s").agg(F.sum("w").alias("o")), "s").select(F.col("s").alias("src"), F.col("t").alias("dst"), (F.col("w") / F.col("o")).alias("p"))
+    return _rounded(graph.damped(p, table(spark, d, "nation").select(F.col("n_nationkey").alias("id"))), p=9)
+
+
+def qwalk_metrics(spark, d):
+    states = [cut(rank.walk_start(_p(spark, d)))]
+    for _ in range(2):
+        states.append(cut(rank.walk_step(states[-1])))
+    return _rounded(rank.state_metrics(states), delta_mean=6, angle_mean=4, mean_abs=9, delta=6, angle=4)
+
+
+def score_ranking(spark, d):
+    scores = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.round(F.col("embedding")[0].cast("double"), 2).alias("value"))
+    return rank.ranked(scores, ids_descend=False).select("id", "position")
+
+
+def scalar_forms(spark, d):
+    n = F.col("o_orderkey") % 4
+    tiles = F.size(S.tiled(F.array(F.lit(1), F.lit(2), F.lit(3)), n.cast("int")))
+    whole = S.is_close(F.col("o_totalprice"), F.round("o_totalprice"), rtol=1e-6)
+    return table(spark, d, "orders").select("o_orderkey", whole.alias("whole"), S.binary_text(F.col("o_orderkey") % 64, 6).alias("bits"), tiles.alias("tiles"))
+
+
 def _features(spark, d):
     return part_nodes(spark, d).select("id", F.array(F.col("length"), F.col("fclass")).alias("x"))
 
@@ -156,7 +214,7 @@ def sage_layer(spark, d):
 
 
 def sage_noise(spark, d):
-    return sage.feature_noise(_features(spark, d), 0.1).select("id", F.col("x")[0].alias("length"))
+    return sage.feature_noise(_features(spark, d), 0.1).select("id", F.round(F.col("x")[0], 4).alias("length"))
 
 
 def _demo():
@@ -205,7 +263,7 @@ QUERIES = {
     "vertex_dual_graph": lambda s, d: graph.vertex_edges(_quantised(s, d, 3)),
     "node_similarity": lambda s, d: _rounded(_sim(s, d), sim=6),
     "node_similarity_multi": lambda s, d: _rounded(graph.similarity(part_nodes(s, d), ["length", "fclass"]), sim=6),
-    "node_similarity_noise": lambda s, d: graph.similarity(part_nodes(s, d), ["length"], noise=0.1),
+    "node_similarity_noise": lambda s, d: _rounded(graph.similarity(part_nodes(s, d), ["length"], noise=0.1), sim=6),
     "transition_matrix": lambda s, d: _rounded(_p(s, d), p=6),
     "adjacency": lambda s, d: graph.adjacency(_p(s, d)),
     "column_normalise": lambda s, d: _rounded(graph.column_normalised(graph.adjacency(_p(s, d))), v=6),
@@ -225,8 +283,8 @@ QUERIES = {
     "vertex_direction": lambda s, d: _rounded(vector_lines(s, d).select("fid", F.posexplode(G.vertex_directions("points")).alias("at", "direction")), direction=4),
     "bounds": _bounds,
     "project_3857": lambda s, d: _vertices(s, d).select("fid", "at", *[F.round(c, 3).alias(n) for c, n in zip(G.web_mercator(F.col("x"), F.col("y")), "xy", strict=True)]),
-    "project_utm": lambda s, d: _vertices(s, d).select("fid", "at", *[c.alias(n) for c, n in zip(G.utm(F.col("x"), F.col("y")), "xy", strict=True)]),
-    "great_circle_km": lambda s, d: vector_lines(s, d).select("fid", G.great_circle_length("points").alias("km")),
+    "project_utm": lambda s, d: _vertices(s, d).select("fid", "at", *[F.round(c, 3).alias(n) for c, n in zip(G.utm(F.col("x"), F.col("y")), "xy", strict=True)]),
+    "great_circle_km": lambda s, d: vector_lines(s, d).select("fid", F.round(G.great_circle_length("points"), 6).alias("km")),
     "endpoint_contact": lambda s, d: stroke.endpoint_pairs(_ends_quantised(s, d)).select("a", "b", "kind"),
     "angle_between": lambda s, d: stroke.endpoint_pairs(_ends_quantised(s, d)),
     "stroke_merge": lambda s, d: stroke.strokes(_ends_quantised(s, d), ["label"]).select("fid", "label", F.size("points").alias("n_points")),
@@ -261,4 +319,14 @@ QUERIES = {
     "train_split": lambda s, d: sage.split_masks(table(s, d, "documents").select(F.col("doc_id").alias("id"))),
     "measure_marginal": measure_marginal,
     "circuit_averages": circuit_averages,
+    "road_match": road_match,
+    "density_report": density_report,
+    "connectivity": connectivity,
+    "sampled_pairs": sampled_pairs,
+    "damped_transition": damped_transition,
+    "sum_normalised": lambda s, d: _rounded(graph.sum_normalised(part_nodes(s, d), "length"), value=12),
+    "qwalk_metrics": qwalk_metrics,
+    "score_ranking": score_ranking,
+    "scalar_forms": scalar_forms,
+    "numbered_parts": lambda s, d: evaluate.numbered(evaluate.parts_of(_parts(s, d)), "orig_id", "part").select("orig_id", "part", "fid"),
 }
