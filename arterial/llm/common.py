@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -35,6 +36,24 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+FRAME_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_frames(spark: SparkSession) -> None:
+    """Python workers get rows in frames of 16 MB at most, where the session has Spark's own 64 MB."""
+    if spark.conf.get(FRAME_BYTES) == "67108864b":
+        spark.conf.set(FRAME_BYTES, "16m")
+
+
+def release() -> None:
+    """Gives memory that is free back to the system, where the C library can: Python workers live
+    on from stage to stage, beside an executor's other memory."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 class Tables:
     """Tables written to the shared checkpoint folder between the steps of an operator.
 

@@ -25,7 +25,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arterial.llm.common import WORD
+from arterial.llm.common import WORD, Tables
 
 #: Ranges of the document hash. A source's slices are one row each in the small table.
 SLICES = 4096
@@ -44,9 +44,16 @@ def word_count(text: str | Column) -> Column:
 def source_weights(sources: DataFrame, weights: Sequence[float]) -> DataFrame:
     """``sources`` (one row for each source) with its weight: the given ones in turn by
     code point order of the name, null last."""
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    at = F.pmod(F.row_number().over(order) - 1, F.lit(len(weights)))
-    return sources.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (at + 1).cast("int")))
+    # Ranges of names are counted, then numbered each by itself, as sources may be many.
+    by_name = F.col("source").asc_nulls_last()
+    ranged = Tables(sources.sparkSession).keep(sources.repartitionByRange(by_name).withColumn("__range", F.spark_partition_id()))
+    sizes = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
+    # A row for each partition.
+    before = sizes.select("__range", (F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy("__range")) - F.col("__n")).alias("__before"))
+    nth = F.row_number().over(Window.partitionBy("__range").orderBy(by_name)) - 1 + F.col("__before")
+    at = F.pmod(nth, F.lit(len(weights)))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (at + 1).cast("int"))
+    return ranged.join(F.broadcast(before), "__range").withColumn("weight", weight).drop("__range", "__before")
 
 
 def water_level(sources: DataFrame, max_epochs: float) -> float:

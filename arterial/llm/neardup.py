@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arterial.llm.common import Tables
+from arterial.llm.common import Tables, release
 
 #: Chance that a pair at the similarity asked for shares no band, and values of a signature, at most.
 MISS, VALUES = 2e-6, 180
@@ -140,6 +140,7 @@ def _signatures(width: int, rows: int, bands: int):
             out.insert(0, "doc_id", f["doc_id"].to_numpy())
             yield out
         _words.clear()  # the worker lives on
+        release()
 
     return run
 
@@ -149,6 +150,7 @@ def _sets(width: int):
         for f in (g.iloc[lo : lo + STEP_ROWS] for g in frames for lo in range(0, len(g), STEP_ROWS)):
             yield pd.DataFrame({"id": f["doc_id"], "shingles": [shingle_hashes(t, width).view(np.int64) for t in f["text"]]})
         _words.clear()
+        release()
 
     return run
 

@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arterial.llm.common import release
+
 BLANK = "▁"
 #: Stretches that a task keeps; longer ones than this many characters are never kept.
 KEPT, KEPT_CHARS = 200_000, 40
@@ -228,8 +230,9 @@ def encode_pieces(docs: DataFrame, model: str, text_col: str = "text") -> DataFr
     """``docs`` with ids (array<int>), n_pieces and n_byte_pieces of the whole text.
 
     Exact: ``decode_pieces`` gives the text back, character for character. Null texts
-    have null ids and counts of 0, empty ones no ids. Equal rows get equal ids; other
-    columns are carried along, ones named like a result are replaced.
+    have null ids and counts of 0, empty ones no ids. Equal rows get equal ids, texts of any
+    length are segmented whole, and an empty table gives an empty result; other columns are
+    carried along, ones named like a result are replaced.
     """
     return _encode(docs, model, text_col, check=False)
 
@@ -259,6 +262,7 @@ def _encode(docs: DataFrame, model: str, text_col: str, check: bool) -> DataFram
                 yield f
         codec.marked.clear()  # the worker lives on
         codec.bare.clear()
+        release()
 
     return kept.mapInPandas(run, schema)
 

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from arterial.llm.common import checkpointed
 
-#: Documents with looked-up entities, up to which the look-up is broadcast.
+#: Entities to look up, and documents with such, up to which they are broadcast.
 BROADCAST_DOCS = 100_000
 ATTEMPTS = 32
 
@@ -309,20 +309,24 @@ def resolve(entities: DataFrame, key: bytes) -> DataFrame:
     raise RuntimeError("surrogates still collide: the space of forms is too small for the entities")
 
 
-def replace_entities(docs: DataFrame, key: str = "surrogate-key") -> DataFrame:
+def replace_entities(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` (text, ...) with the rewritten text, n_entities and entities.
 
     ``entities`` lists kind:start:end of the original text (code points, ends exclusive).
     Null texts stay null, empty ones empty, and texts without entities are unchanged.
-    Equal texts are rewritten alike, and equal entities alike in all texts under one key.
-    Other columns are carried along; ones named like a result are replaced.
+    Equal texts are rewritten alike, and equal entities alike in all texts under one key; whoever
+    has the key can tell originals from surrogates, so it has to be kept as a secret. Texts are
+    read whole, repeated rows stay, and an empty table gives an empty result. Other columns are carried along; ones named like a result are replaced.
     """
     secret = key.encode()
     kept = docs.drop("n_entities", "entities")
     occurring = docs.select(F.xxhash64("text").alias("doc"), "text").mapInPandas(_occurrences, "doc long, kind string, canon string")
     occurring = checkpointed(occurring)
     table = resolve(occurring.select("kind", "canon").distinct(), secret)
-    again = table.where("attempt > 0").select("kind", "canon", "attempt")
+    again = checkpointed(table.where("attempt > 0").select("kind", "canon", "attempt"))
+    # Few entities collide; they go to every task, so that a frequent one needn't meet in one.
+    if again.count() <= BROADCAST_DOCS:
+        again = F.broadcast(again)
     looked_up = occurring.distinct().join(again, ["kind", "canon"]).groupBy("doc").agg(F.collect_list(F.struct("kind", "canon", "attempt")).alias("__again"))
     looked_up = checkpointed(looked_up.withColumnRenamed("doc", "__doc"))
     if looked_up.count() <= BROADCAST_DOCS:

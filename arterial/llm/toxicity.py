@@ -34,6 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arterial.llm.common import release
 from arterial.llm.rules import labelled_sample
 
 #: Labelled rows that the machine is trained on, about, and distinct words of one of them, at most.
@@ -400,5 +401,7 @@ def score_toxicity(docs: DataFrame, machine: Machine) -> DataFrame:
         for f in frames:
             if len(f):
                 yield f.assign(score=score_texts(f["text"].tolist(), shared.value, seen))
+        seen.clear()
+        release()
 
     return kept.mapInPandas(run, schema).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
