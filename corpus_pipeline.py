@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arterial.llm.common import checkpointed, table
+from arterial.llm.common import checkpointed, small_frames, table
 from arterial.llm.mixing import mix_to_targets
 from arterial.llm.neardup import near_duplicates
 from arterial.llm.pieces import encode_pieces
@@ -21,13 +21,6 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 #: Ids to remove, up to which they are broadcast; above, they are joined.
 BROADCAST_IDS = 500_000
-FRAME_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
-
-
-def small_frames(spark: SparkSession) -> None:
-    """Python workers get texts in frames of 16 MB at most, unless less is set: five stages share them."""
-    if spark.conf.get(FRAME_BYTES) == "67108864b":  # Spark's own
-        spark.conf.set(FRAME_BYTES, "16m")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
