@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+
+from arterial.operators import circuit
+
 ALPHA = "CAST(0.85 AS DOUBLE)"
 REST = "CAST(0.15 AS DOUBLE)"
 
@@ -292,7 +298,6 @@ SELECT round(a, 6) AS a, round(b, 6) AS b, round(r2_log, 6) AS r2_log, round(1 -
     "select_ratios": """WITH s AS (SELECT o_orderkey AS id, CAST(round(o_totalprice) AS BIGINT) AS length FROM orders), c AS (SELECT id, length, sum(length) OVER (ORDER BY length DESC, id DESC ROWS UNBOUNDED PRECEDING) AS upto, sum(length) OVER () AS total FROM s)
 SELECT ratio, id, CAST(length AS DOUBLE) AS length FROM c, (SELECT CAST(unnest([0.2, 0.4, 0.6]) AS DOUBLE) AS ratio) WHERE upto - length < ratio * total""",
 }
-ORACLES["measure_marginal"] = "SELECT CAST(node AS BIGINT) AS node, CAST(prob AS DOUBLE) AS prob FROM (VALUES (0, 0.25), (1, 0.25), (2, 0.25), (3, 0.25)) t(node, prob)"
 _DEGREES = "2 * 6371008.8 * asin(sqrt(pow(sin(radians(by_ - ay) / 2), 2) + cos(radians(ay)) * cos(radians(by_)) * pow(sin(radians(bx - ax) / 2), 2))) / 1000"
 ORACLES |= {
     "node_similarity_noise": f"""WITH {NODES}, ends AS (SELECT min(length) AS lo, max(length) AS hi FROM nodes),
@@ -322,3 +327,65 @@ round(sqrt(sum(pow(u - v, 2))), 6) AS delta, round(degrees(acos(greatest(-1, lea
 CASE WHEN o_orderkey % 64 = 0 THEN '000000' ELSE lpad(bin(o_orderkey % 64), 6, '0') END AS bits, CAST(o_orderkey % 4 * 3 AS INTEGER) AS tiles FROM orders""",
     "numbered_parts": f"WITH {LINES}, q AS (SELECT DISTINCT fid AS orig_id, CAST((k - 1) // 8 AS INTEGER) AS part FROM pts) SELECT orig_id, part, row_number() OVER (ORDER BY orig_id, part) - 1 AS fid FROM q",
 }
+
+#: The 4 by 4 matrix that the circuit queries load.
+DEMO = np.array([[0.25, 0.45, 0.3, 0.4], [0.3, 0.15, 0.4, 0.4], [0.4, 0.25, 0.1, 0.1], [0.05, 0.15, 0.2, 0.1]])
+
+
+def simulated(steps: int) -> tuple[str, list[int]]:
+    """CTEs g (gates) and s (step, v: all amplitudes after so many gates) of the walk circuit, and
+    how many gates prepare the state and make each of its double rounds.
+
+    The gates are the engine's, their application is this query's: a swap is three controlled
+    NOTs, every other gate a two by two matrix on its target where its controls hold."""
+    r = math.sqrt(0.5)
+    rows = []
+
+    def add(target: int, controls: dict[int, int], m: tuple) -> None:
+        numbers = [len(rows) + 1, 1 << target, sum(1 << q for q in controls), sum(b << q for q, b in controls.items())]
+        rows.append(f"({', '.join(map(str, numbers))}, {', '.join(real(float(x)) for x in m)})")
+
+    start, lengths = circuit.initial_state(DEMO, 0.85)[0], []
+    gates, qubits = circuit.walk_circuit(DEMO, 0.85, steps)
+    each = (len(gates) - len(start)) // steps
+    for k, (name, targets, controls, angle) in enumerate(gates):
+        if k >= len(start) and (k - len(start)) % each == 0 or k == len(start):
+            lengths.append(len(rows))
+        c, z = math.cos(angle / 2), math.sin(angle / 2)
+        if name == "swap":
+            a, b = targets
+            for one, other in ((a, b), (b, a), (a, b)):
+                add(other, {**controls, one: 1}, (0, 1, 1, 0))
+        else:
+            add(targets[0], controls, {"ry": (c, -z, z, c), "h": (r, r, r, -r), "x": (0, 1, 1, 0), "z": (1, 0, 0, -1)}[name])
+    lengths.append(len(rows))
+    n = 1 << qubits
+    new = "CASE WHEN b & cmask <> cval THEN v[b + 1] WHEN b & tmask = 0 THEN m0 * v[b + 1] + m1 * v[(b | tmask) + 1] ELSE m2 * v[xor(b, tmask) + 1] + m3 * v[b + 1] END"
+    return f"""g(step, tmask, cmask, cval, m0, m1, m2, m3) AS (VALUES {', '.join(rows)}),
+s AS (SELECT 0 AS step, [CAST(CASE WHEN b = 0 THEN 1 ELSE 0 END AS DOUBLE) for b in range({n})] AS v
+  UNION ALL SELECT g.step, [{new} for b in range({n})] FROM s JOIN g ON g.step = s.step + 1),
+p AS (SELECT step, (b >> 1 & 1) * 2 + (b >> 2 & 1) AS node, sum(v[b + 1] * v[b + 1]) AS prob FROM s, (SELECT unnest(range({n})) AS b) WHERE step IN ({', '.join(map(str, lengths))}) GROUP BY 1, 2)""", lengths
+
+
+#: The polygon that lines are clipped to.
+POLYGON = [(-0.15, -0.15), (0.15, -0.15), (0.2, 0.1), (0.0, 0.2), (-0.15, 0.15)]
+_RING = ", ".join(f"({real(ax)}, {real(ay)}, {real(bx)}, {real(by)})" for (ax, ay), (bx, by) in zip(POLYGON, [*POLYGON[1:], POLYGON[0]], strict=True))
+_CROSS = "((bx - ax) * (ry2 - ry) - (by_ - ay) * (rx2 - rx))"
+CLIP = f"""WITH {LINES}, ring(rx, ry, rx2, ry2) AS (VALUES {_RING}),
+hits AS (SELECT fid, k, ((rx - ax) * (ry2 - ry) - (ry - ay) * (rx2 - rx)) / {_CROSS} AS t, ((rx - ax) * (by_ - ay) - (ry - ay) * (bx - ax)) / {_CROSS} AS u FROM segs, ring WHERE {_CROSS} <> 0),
+cuts AS (SELECT fid, k, t FROM hits WHERE t > 0 AND t < 1 AND u >= 0 AND u <= 1 UNION SELECT fid, k, CAST(unnest([0, 1]) AS DOUBLE) FROM segs),
+pieces AS (SELECT * FROM (SELECT fid, k, t, lead(t) OVER (PARTITION BY fid, k ORDER BY t) AS t1 FROM cuts) WHERE t1 IS NOT NULL),
+mid AS (SELECT fid, k, t, ax + (t + t1) / 2 * (bx - ax) AS x, ay + (t + t1) / 2 * (by_ - ay) AS y FROM pieces JOIN segs USING (fid, k)),
+ins AS (SELECT fid, k, t, count(*) FILTER (WHERE (ry > y) <> (ry2 > y) AND x < (rx2 - rx) * (y - ry) / (ry2 - ry) + rx) % 2 = 1 AS i FROM mid, ring GROUP BY fid, k, t),
+marked AS (SELECT fid, k, t, i, CASE WHEN i AND NOT coalesce(lag(i) OVER (PARTITION BY fid ORDER BY k, t), false) THEN 1 ELSE 0 END AS first FROM ins),
+placed AS (SELECT fid, i, sum(first) OVER (PARTITION BY fid ORDER BY k, t) - 1 AS part FROM marked)
+SELECT fid, CAST(part AS INTEGER) AS part, CAST(count(*) + 1 AS INTEGER) AS n_points FROM placed WHERE i GROUP BY fid, part"""
+
+_CIRCUIT, _AFTER = simulated(3)
+ORACLES |= {
+    "clip_to_boundary": CLIP,
+    "measure_marginal": f"WITH RECURSIVE {_CIRCUIT} SELECT CAST(node AS BIGINT) AS node, round(prob, 9) AS prob FROM p WHERE step = {_AFTER[0]}",
+    "circuit_averages": f"""WITH RECURSIVE {_CIRCUIT}, k AS (SELECT CASE step {' '.join(f'WHEN {n} THEN {i}' for i, n in enumerate(_AFTER))} END AS step, node, prob FROM p),
+a AS (SELECT step, node, avg(prob) OVER (PARTITION BY node ORDER BY step) AS average FROM k WHERE step > 0)
+SELECT CAST(step AS INTEGER) AS step, CAST(node AS BIGINT) AS node, round(average, 9) AS average, round(average - coalesce(lag(average) OVER (PARTITION BY node ORDER BY step), 0), 9) AS delta FROM a""",
+}

@@ -13,7 +13,7 @@ from arterial.functions import geometry as G
 from arterial.functions import scalar as S
 from arterial.operators import circuit, coo, evaluate, graph, lineage, paths, rank, sage, select, stroke
 from arterial.operators.iterate import cut
-from arterial.plans.oracles import ORACLES
+from arterial.plans.oracles import DEMO, ORACLES, POLYGON
 from arterial.sources.tables import part_nodes, table, vector_lines
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]
@@ -217,13 +217,9 @@ def sage_noise(spark, d):
     return sage.feature_noise(_features(spark, d), 0.1).select("id", F.round(F.col("x")[0], 4).alias("length"))
 
 
-def _demo():
-    return np.array([[0.25, 0.45, 0.3, 0.4], [0.3, 0.15, 0.4, 0.4], [0.4, 0.25, 0.1, 0.1], [0.05, 0.15, 0.2, 0.1]])
-
-
 def measure_marginal(spark, d):
     """Current node of the prepared state: uniform, whatever the transition matrix."""
-    gates, n = circuit.initial_state(_demo(), 0.85)
+    gates, n = circuit.initial_state(DEMO, 0.85)
     state = circuit.state_table(spark, gates, 1 + 2 * n)
     return _rounded(circuit.marginal(state, [1, 2]), prob=9)
 
@@ -232,10 +228,10 @@ def circuit_averages(spark, d):
     """Running averages of the walk circuit's current node over three lengths."""
     shots = None
     for k in (1, 2, 3):
-        gates, qubits = circuit.walk_circuit(_demo(), 0.85, k)
+        gates, qubits = circuit.walk_circuit(DEMO, 0.85, k)
         one = circuit.marginal(circuit.state_table(spark, gates, qubits), [1, 2]).withColumn("step", F.lit(k))
         shots = one if shots is None else shots.unionByName(one)
-    return circuit.running_average(shots)
+    return _rounded(circuit.running_average(shots), average=9, delta=9)
 
 
 def select_ratios(spark, d):
@@ -290,7 +286,7 @@ QUERIES = {
     "stroke_merge": lambda s, d: stroke.strokes(_ends_quantised(s, d), ["label"]).select("fid", "label", F.size("points").alias("n_points")),
     "stroke_paired": lambda s, d: stroke.paired_strokes(_ends_quantised(s, d), ["label"]),
     "near_table": lambda s, d: stroke.near_table(_placed(s, d)),
-    "clip_to_boundary": lambda s, d: lineage.clip_lines(vector_lines(s, d), [(-0.15, -0.15), (0.15, -0.15), (0.2, 0.1), (0.0, 0.2), (-0.15, 0.15)]).select("fid", "part", F.size("points").alias("n_points")),
+    "clip_to_boundary": lambda s, d: lineage.clip_lines(vector_lines(s, d), POLYGON).select("fid", "part", F.size("points").alias("n_points")),
     "grid_density": lambda s, d: _rounded(evaluate.grid_density(vector_lines(s, d), _bounds(s, d)).select("grid_id", "road_length", "density"), road_length=6, density=4),
     "retain_rate": lambda s, d: _rounded(_densities(s, d).select("grid_id", "retain"), retain=6),
     "density_corr": lambda s, d: _rounded(evaluate.density_metrics(_densities(s, d)), mean_retain=6, std_retain=6, pearson=6, r2=6),

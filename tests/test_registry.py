@@ -13,7 +13,9 @@ QUICK = [
     "dual_graph_edges", "node_similarity", "node_similarity_multi", "transition_matrix", "column_normalise", "reversed_weighted_graph", "induced_subgraph",
     "pagerank_1", "qwalk_start", "topk_ranking", "select_ratios", "polyline_length", "vertex_direction", "bounds", "project_3857", "endpoint_contact",
     "grid_density", "density_corr", "power_fit", "coo_matmul", "coo_minus_identity", "reclass_fclass", "merge_layers", "attribute_table", "explode_parts",
-    "safe_float", "parse_props_json", "max_score_per_road", "sage_mean_layer", "train_split", "measure_marginal",
+    "safe_float", "parse_props_json", "max_score_per_road", "sage_mean_layer", "train_split", "measure_marginal", "circuit_averages", "clip_to_boundary",
+    "node_similarity_noise", "sage_noise", "project_utm", "great_circle_km", "angle_between", "stroke_paired", "near_table", "road_match", "density_report",
+    "sampled_pairs", "damped_transition", "sum_normalised", "score_ranking", "scalar_forms", "numbered_parts",
 ]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
