@@ -218,6 +218,36 @@ def test_a_large_family_in_rounds(docs_of, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == brute_components(texts, list(range(90)), 3, 85)
 
 
+def test_five_words_at_eighty_percent(docs_of):
+    rng = np.random.default_rng(15)
+    texts = []
+    for family in range(6):
+        base = [f"f{family}w{k}" for k in range(int(rng.integers(40, 120)))]
+        for k in range(14):
+            copy = list(base)
+            for at in rng.integers(0, len(base), rng.integers(0, 4)):
+                copy[at] = f"x{family}-{k}-{at}"
+            texts.append(" ".join(copy))
+    texts += [texts[0], "one two three four", "one two three four", "one two three", None, ""]
+    rows = neardup.near_duplicates(docs_of(texts), 5, 80).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == brute_components(texts, list(range(len(texts))), 5, 80)
+
+
+def test_bands_follow_the_similarity():
+    assert neardup.banding(85) == (6, 28) and neardup.banding(80) == (5, 34)
+    for percent in (50, 60, 70, 80, 85, 90, 95):
+        rows, bands = neardup.banding(percent)
+        assert (1 - (percent / 100) ** rows) ** bands <= neardup.MISS and rows * bands <= neardup.VALUES
+    a, b = (neardup.shingle_hashes(" ".join(f"w{k}" for k in r), 3) for r in (range(100), range(4, 104)))
+    differ = int(np.bitwise_count(neardup.parity_sketch(a).view(np.uint64) ^ neardup.parity_sketch(b).view(np.uint64)).sum())
+    assert 0 < differ <= len(np.setxor1d(a, b))
+
+
+def test_ids_of_several_texts_tie_them(docs_of):
+    rows = neardup.near_duplicates(docs_of(["a b c d", "x y z q", "a b c d", "x y z q"], [3, 5, 7, 7])).collect()
+    assert {(r.doc_id, r.component_id) for r in rows} == {(3, 3), (5, 3), (7, 3)}
+
+
 def test_near_duplicates_of_odd_ids(docs_of):
     rows = neardup.near_duplicates(docs_of(["a b c d", "a b c d", "a b c d", "x y z q"], [5, None, 5, 7])).collect()
     assert sorted((r.doc_id or -1, r.component_id, r.kept) for r in rows if r.doc_id) == [(5, 5, True), (5, 5, True), (7, 7, True)]
@@ -280,6 +310,15 @@ def test_mix_scores_columns(docs_of, odd):
 # -- pipeline -------------------------------------------------------------------------
 
 
+def test_pipeline_keeps_other_words_of_an_id(spark, docs_of):
+    import corpus_pipeline as cp
+
+    texts = ["one two three four five six", "ONE two  three four five six", "seven eight nine ten eleven twelve", None, "", "one two three four five six"]
+    docs = docs_of(texts, [4, 4, 4, 4, 4, 9]).select(*cp.COLUMNS)
+    left = sorted((r.doc_id, r.text or "") for r in cp.drop_near_duplicates(spark, docs, "").collect())
+    assert left == sorted([(4, "ONE two  three four five six"), (4, "seven eight nine ten eleven twelve"), (4, ""), (4, "")])
+
+
 def test_pipeline_stages(spark, docs_of, tmp_path):
     import corpus_pipeline as cp
 
