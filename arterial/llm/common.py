@@ -40,9 +40,10 @@ FRAME_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def small_frames(spark: SparkSession) -> None:
-    """Python workers get rows in frames of 16 MB at most, where the session has Spark's own 64 MB."""
+    """Python workers get rows in frames of 4 MB at most, where the session has Spark's own 64 MB:
+    both sides hold a frame in memory outside of the heap."""
     if spark.conf.get(FRAME_BYTES) == "67108864b":
-        spark.conf.set(FRAME_BYTES, "16m")
+        spark.conf.set(FRAME_BYTES, "4m")
 
 
 def release() -> None:
