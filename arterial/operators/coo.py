@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,3 +51,22 @@ def half_reflection(a: DataFrame, theta: float, n: DataFrame) -> DataFrame:
 def blocked(a: DataFrame, size: int) -> DataFrame:
     """Cells with their block (block_row, block_col), for partitioned storage."""
     return a.withColumn("block_row", F.floor(F.col("row") / size)).withColumn("block_col", F.floor(F.col("col") / size))
+
+
+def block_count(matrix: DataFrame, size: int) -> int:
+    """Blocks that hold a cell."""
+    return blocked(matrix, size).select("block_row", "block_col").distinct().count()
+
+
+#: Cells up to which a dense array is made on the driver.
+DENSE_CELLS = 25_000_000
+
+
+def to_dense(matrix: DataFrame, rows: int, cols: int) -> np.ndarray:
+    """The matrix (row, col, val) as an array; cells that are given twice add up, cells outside are an error."""
+    if rows * cols > DENSE_CELLS:
+        raise ValueError(f"{rows} by {cols} is too large for an array")
+    got = matrix.groupBy("row", "col").agg(F.sum("val").alias("val")).toPandas()
+    out = np.zeros((rows, cols))
+    out[got["row"].to_numpy(), got["col"].to_numpy()] = got["val"].to_numpy(float)
+    return out

@@ -109,6 +109,13 @@ def grid(bounds: DataFrame, rows: int = 10, cols: int = 10) -> DataFrame:
     return cells.select(F.concat_ws("-", "gi", "gj").alias("grid_id"), "gi", "gj", "x1", "y1", "x2", "y2", area.alias("area"))
 
 
+def grid_polygons(cells: DataFrame) -> DataFrame:
+    """(grid_id, area, wkt): the cells of a grid as polygons, for a table that other tools read."""
+    at = lambda x, y: F.concat_ws(" ", F.col(x).cast("string"), F.col(y).cast("string"))
+    ring = F.concat_ws(", ", at("x1", "y1"), at("x2", "y1"), at("x2", "y2"), at("x1", "y2"), at("x1", "y1"))
+    return cells.select("grid_id", "area", F.concat(F.lit("POLYGON (("), ring, F.lit("))")).alias("wkt"))
+
+
 def grid_density(roads: DataFrame, bounds: DataFrame, rows: int = 10, cols: int = 10) -> DataFrame:
     """(grid_id, road_length, density) for every cell; roads (points).
 

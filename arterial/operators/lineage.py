@@ -31,6 +31,14 @@ def export_fields(layer: DataFrame, names: dict[str, str]) -> DataFrame:
     return layer.select(*[F.col(a).alias(b) for a, b in names.items()])
 
 
+def update_schema(layer: DataFrame, types: dict[str, str], defaults: dict[str, object] | None = None) -> DataFrame:
+    """The layer with the named fields in new types, values that can't be read being null; a field
+    that it lacks is added with its default, or null."""
+    defaults = defaults or {}
+    made = {c: (F.col(c).try_cast(t) if c in layer.columns else F.lit(defaults.get(c)).cast(t)) for c, t in types.items()}
+    return layer.withColumns(made)
+
+
 def attribute_table(layer: DataFrame, geometry: Sequence[str] = ("points", "parts", "geometry")) -> DataFrame:
     """All fields but the geometry, as text; null becomes ''."""
     return layer.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in layer.columns if c not in geometry])

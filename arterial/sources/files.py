@@ -94,6 +94,13 @@ def read_ranking(spark: SparkSession, path: str) -> DataFrame:
     return a.select("alpha", "noise", F.posexplode(ids).alias("at", "id")).select("alpha", "noise", "id", (F.col("at") + 1).alias("position"))
 
 
+def read_scores(spark: SparkSession, path: str) -> DataFrame:
+    """(noise, id, position) of a ranking document noise -> {sorted}."""
+    text = spark.read.text(path, wholetext=True)
+    docs = text.select(F.explode(F.from_json("value", "map<string,struct<sorted:string>>")).alias("noise", "doc"))
+    return docs.select("noise", F.posexplode(F.from_json(F.col("doc.sorted"), "array<int>")).alias("at", "id")).select("noise", "id", (F.col("at") + 1).alias("position"))
+
+
 def write_blocks(matrix: DataFrame, path: str, size: int) -> None:
     """A sparse matrix, a folder for each block."""
     from arterial.operators.coo import blocked

@@ -329,3 +329,24 @@ def test_documents_and_bad_edges(spark, tmp_path):
     (tmp_path / "c.json").write_text('{"roadselect": {"global": {"noise": [0, 0.1]}, "applyu": {"alpha_s": [0.5], "max_iterations": 7}}}')
     config = files.read_config(spark, str(tmp_path / "c.json"))
     assert (config.noise, config.alphas, config.max_iterations, config.ratios) == ([0.0, 0.1], [0.5], 7, [0.2, 0.4, 0.6])
+
+
+def test_small_forms(spark, tmp_path):
+    m = spark.createDataFrame([(0, 0, 1.0), (5, 1, 2.0), (5, 1, 0.5)], "row long, col long, val double")
+    assert coo.block_count(m, 4) == 2 and coo.to_dense(m, 6, 2)[5, 1] == 2.5 and coo.to_dense(m, 6, 2).sum() == 3.5
+    with pytest.raises(ValueError, match="too large"):
+        coo.to_dense(m, 10**5, 10**5)
+    layer = spark.createDataFrame([("1", "x"), ("z", "y")], "a string, b string")
+    got = lineage.update_schema(layer, {"a": "int", "c": "double"}, {"c": 2}).collect()
+    assert [(r.a, r.b, r.c) for r in got] == [(1, "x", 2.0), (None, "y", 2.0)]
+    assert lineage.export_fields(layer, {"b": "name"}).columns == ["name"]
+    cells = evaluate.grid(spark.createDataFrame([(0.0, 0.0, 2.0, 2.0)], "minx double, miny double, maxx double, maxy double"), 2, 2)
+    first = evaluate.grid_polygons(cells).where("grid_id = '0-0'").first()
+    assert first.wkt == "POLYGON ((0.0 0.0, 1.0 0.0, 1.0 1.0, 0.0 1.0, 0.0 0.0))" and first.area == 1.0
+    (tmp_path / "g.json").write_text('{"0": {"sorted": "[3, 1, 2]"}, "0.1": {"sorted": "[1]"}}')
+    assert sorted(map(tuple, files.read_scores(spark, str(tmp_path / "g.json")).collect())) == [("0", 1, 2), ("0", 2, 3), ("0", 3, 1), ("0.1", 1, 1)]
+    files.write_selection(spark.createDataFrame([("c", "0.4", "0.85", "0", 1)], "method string, ratio string, alpha string, noise string, fid int"), str(tmp_path / "s"))
+    assert spark.read.parquet(str(tmp_path / "s")).where("method = 'c' AND ratio = 0.4").count() == 1
+    bounds = spark.createDataFrame([(0.0, 0.0, 1.0, 1.0)], "minx double, miny double, maxx double, maxy double")
+    roads = lines(spark, (1, "", [(1.5, 0.5), (2, 2)]), (2, "", [(3, 3), (4, 4)]), (3, "", [(0.2, 0.2), (0.4, 0.4)]))
+    assert sorted(r.fid for r in evaluate.in_bounds(roads, bounds, 0.6).collect()) == [1, 3]
