@@ -350,3 +350,16 @@ def test_small_forms(spark, tmp_path):
     bounds = spark.createDataFrame([(0.0, 0.0, 1.0, 1.0)], "minx double, miny double, maxx double, maxy double")
     roads = lines(spark, (1, "", [(1.5, 0.5), (2, 2)]), (2, "", [(3, 3), (4, 4)]), (3, "", [(0.2, 0.2), (0.4, 0.4)]))
     assert sorted(r.fid for r in evaluate.in_bounds(roads, bounds, 0.6).collect()) == [1, 3]
+
+
+def test_text_forms_and_files(spark, tmp_path):
+    roads = lines(spark, (1, "a", [(0, 0), (0, 1)]))
+    got = lineage.with_length_km(roads).select("length", G.well_known_text("points").alias("wkt"), S.list_text(F.array(F.lit(1), F.lit(2))).alias("text")).first()
+    assert got.length == pytest.approx(111.195, abs=0.01) and got.wkt == "LINESTRING (0.0 0.0, 0.0 1.0)" and got.text == "[1,2]"
+    files.write_csv(lineage.attribute_table(roads), str(tmp_path / "c"), ";")
+    assert [tuple(r) for r in spark.read.option("header", True).option("sep", ";").csv(str(tmp_path / "c")).collect()] == [("1", "a")]
+    m = spark.createDataFrame([(0, 0, 1.0), (5, 1, 2.0)], "row long, col long, val double")
+    files.write_blocks(m, str(tmp_path / "b"), 4)
+    assert sorted(map(tuple, files.read_blocks(spark, str(tmp_path / "b")).collect())) == [(0, 0, 1.0), (5, 1, 2.0)]
+    nodes = evaluate.parts_of(spark.createDataFrame([(4, [[{"x": 0.0, "y": 0.0}, {"x": 1.0, "y": 1.0}]])], "fid long, parts array<array<struct<x:double,y:double>>>"))
+    assert nodes.columns == ["orig_id", "part", "points"]
