@@ -245,8 +245,8 @@ def topk_ranking(spark, d):
 
 
 def qwalk_change(spark, d):
-    one = cut(rank.walk_step(cut(rank.walk_start(_p(spark, d)))))
-    return _rounded(rank.state_change(rank.walk_step(one), one), delta=6, angle=4)
+    _, one, two = rank.walk_nodes(rank.walk_pairs(_p(spark, d)), 2)
+    return _rounded(rank.nodes_change(two, one), delta=6, angle=4)
 
 
 def power_fit(spark, d):
