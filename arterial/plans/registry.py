@@ -178,10 +178,8 @@ def damped_transition(spark, d):
 
 
 def qwalk_metrics(spark, d):
-    states = [cut(rank.walk_start(_p(spark, d)))]
-    for _ in range(2):
-        states.append(cut(rank.walk_step(states[-1])))
-    return _rounded(rank.state_metrics(states), delta_mean=6, angle_mean=4, mean_abs=9, delta=6, angle=4)
+    pairs = rank.walk_pairs(_p(spark, d))
+    return _rounded(rank.nodes_metrics(pairs, rank.walk_nodes(pairs, 2)), delta_mean=6, angle_mean=4, mean_abs=9, delta=6, angle=4)
 
 
 def score_ranking(spark, d):
