@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from arterial.functions import geometry as G
 from arterial.functions import scalar as S
 from arterial.operators import circuit, coo, evaluate, graph, lineage, paths, rank, sage, select, stroke
-from arterial.operators.iterate import cut
 from arterial.plans.oracles import DEMO, ORACLES, POLYGON
 from arterial.sources.tables import part_nodes, table, vector_lines
 
@@ -269,7 +268,7 @@ QUERIES = {
     "qwalk_start": lambda s, d: _rounded(rank.walk_start(_p(s, d)).select("i", "j", "a"), a=9),
     "qwalk_step1": lambda s, d: _rounded(rank.walk_step(rank.walk_start(_p(s, d))).select("i", "j", "a"), a=9),
     "qwalk_avg3": lambda s, d: _rounded(rank.quantum_pagerank(_p(s, d), part_nodes(s, d), 0.85, 3), value=9),
-    "qwalk_norm": lambda s, d: rank.walk_step(cut(rank.walk_step(cut(rank.walk_start(_p(s, d)))))).agg(F.round(F.sum(F.col("a") * F.col("a")), 6).alias("norm")),
+    "qwalk_norm": lambda s, d: _rounded(rank.nodes_norm(rank.walk_nodes(rank.walk_pairs(_p(s, d)), 2)[-1]), norm=6),
     "qwalk_change": qwalk_change,
     "topk_ranking": topk_ranking,
     "select_ratios": select_ratios,

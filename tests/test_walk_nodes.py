@@ -57,7 +57,7 @@ def written(spark) -> int:
     return sum(f.stat().st_size for f in Path(folder.removeprefix("file:")).rglob("*") if f.is_file()) if folder else 0
 
 
-@pytest.mark.parametrize("name", ["qwalk_avg3", "qwalk_change", "qwalk_metrics"])
+@pytest.mark.parametrize("name", ["qwalk_avg3", "qwalk_change", "qwalk_metrics", "qwalk_norm"])
 def test_cells_are_written_once(spark, name):
     folder = "/root/testdata/sf0.001"
     cells, before, setting = QUERIES["dual_graph_edges"](spark, folder).count(), written(spark), spark.conf.get(CLEAN_SHUFFLES)
