@@ -30,7 +30,8 @@ Steps, each on a table of the shared folder:
    and one row with the numbers of its words in order.
 2. Counts of words are summed over batches, and words get their paths.
 3. Words are joined back to the batches, which become one row each.
-4. Batches are read to count bits, to learn weights (from a share of the texts), and to code.
+4. Batches are read to count bits, to learn weights, and to code; all training texts are counted
+   and learned from.
 """
 
 from __future__ import annotations
@@ -55,15 +56,14 @@ from arterial.llm.common import Tables, release
 BATCH_BYTES, BATCH_TEXTS = 12_000_000, 50_000
 #: Words of a stretch: weights adapt from the model's along it.
 STRETCH = 128
-#: Words that are worked on at a time in learning and in coding, about (a longer text is worked
+#: Words that are worked on at a time in counting and in coding, about (a longer text is worked
 #: on whole).
-SLICE, CODED = 150_000, 600_000
-#: One in so many texts teaches the weights of a large corpus; all do where there are fewer than
-#: so many training words.
-LEARN_SHARE, LEARN_WORDS = 16, 1_000_000
-#: Rounds of learning: shares of the batches, of 64, at which they end; where there are many
-#: batches, a fourth of them.
-ROUNDS, MANY_BATCHES = (8, 64), 40
+SLICE, CODED = 100_000, 400_000
+#: Stretches that share a step of learning; a step has as many times those, ``TOGETHER`` at most, as
+#: there are so many training words.
+LANES, TOGETHER, LEARN_WORDS = 1024, 3, 5_000_000
+#: Rounds of learning: shares of the batches, of 64, at which they end.
+ROUNDS = (8, 64)
 #: Longest path.
 DEPTH = 10
 #: Slots of a context's table as a power of two, at most and at least; slots of a row of a
@@ -162,7 +162,7 @@ class _Packing:
     later word is numbered by its bytes."""
 
     #: Bytes of texts that are split together, about.
-    TOGETHER = 1 << 22
+    TOGETHER = 1 << 21
 
     def __init__(self):
         # Hashes in order with their numbers; by number the second hash.
@@ -262,10 +262,10 @@ class Batch:
 
     @classmethod
     def unpacked(cls, head: bytes, n: int) -> Batch:
-        raw, width = zlib.decompress(head), 3 + CLASSES * KINDS
-        empty, ids = np.frombuffer(raw, np.int64, 1)[0], np.frombuffer(raw, np.int64, n, 8)
-        null, train = np.frombuffer(raw, bool, n, 8 + 8 * n), np.frombuffer(raw, bool, n, 8 + 9 * n)
-        about = np.frombuffer(raw, np.int64, n * width, 8 + 10 * n).reshape(n, -1)
+        raw, width = zlib.decompress(head), 3 + CLASSES * KINDS  # copied from, as views would hold it
+        empty, ids = np.frombuffer(raw, np.int64, 1)[0], np.frombuffer(raw, np.int64, n, 8).copy()
+        null, train = np.frombuffer(raw, bool, n, 8 + 8 * n).copy(), np.frombuffer(raw, bool, n, 8 + 9 * n).copy()
+        about = np.frombuffer(raw, np.int64, n * width, 8 + 10 * n).reshape(n, -1).copy()
         words = np.ascontiguousarray(np.frombuffer(raw, np.uint8, offset=8 + 10 * n + 8 * n * width).reshape(4, -1).T).view(np.int32).ravel()
         return cls(ids, null, train, about, words, int(empty))
 
@@ -360,6 +360,16 @@ class Contexts:
 def word_contexts(path: np.ndarray, rare: np.ndarray, lengths: np.ndarray) -> Contexts:
     """Paths of all words in order, which words are seen once or never, and the number of words
     of each text. In front of others, rare words are all alike."""
+    hashes, lo = np.empty((CONTEXTS, len(path)), np.uint32), 0
+    for a, b in _runs(np.cumsum(lengths) // SLICE):
+        hi = lo + int(lengths[a:b].sum())
+        hashes[:, lo:hi] = _context_hashes(path[lo:hi], rare[lo:hi], lengths[a:b])
+        lo = hi
+    return Contexts(path, hashes)
+
+
+def _context_hashes(path: np.ndarray, rare: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The hashes of ``word_contexts`` for some texts."""
     n = len(path)
     first = np.repeat((np.cumsum(lengths) - lengths).astype(np.int32), lengths)  # where the word's text begins
     at, seen = np.arange(n, dtype=np.int32), np.where(rare, 1, path).astype(np.uint32)
@@ -373,7 +383,7 @@ def word_contexts(path: np.ndarray, rare: np.ndarray, lengths: np.ndarray) -> Co
     second = np.where(before >= first, before[np.maximum(before, 0)], -1)
     one, two, near, far = back(at - 1), back(at - 2), back(before), back(second)
     hashes = np.stack([one * _MULT[0], (one * _MULT[1]) ^ (two * _MULT[2]) + np.uint32(1), near * _MULT[3] + np.uint32(2), (near * _MULT[4]) ^ (far * _MULT[5]) + np.uint32(3)])
-    return Contexts(path, hashes ^ (hashes >> np.uint32(15)))
+    return hashes ^ (hashes >> np.uint32(15))
 
 
 def slots(hashes: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
@@ -506,31 +516,44 @@ class Learner:
     refine: np.ndarray = field(default_factory=lambda: np.zeros((GATES, REFINE, 2)))
 
 
+def left_out(tables: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Log odds of tables of counts, in which a bit is taken out of its own slot: (..., bit, slots), as
+    coding holds them."""
+    out = {"letters": spelling.left_out(tables["letters"])}
+    less = lambda t, bit: log_odds(np.maximum(t[0] - np.float32(1 - bit), 0), np.maximum(t[1] - np.float32(bit), 0))
+    out["alone"] = np.stack([less(tables["alone"], bit) for bit in (0, 1)])
+    out["near"] = np.stack([[np.rint(ODDS * less(t, bit)).clip(-127, 127).astype(np.int8) for bit in (0, 1)] for t in tables["near"]])
+    return out
+
+
 def learn_stretches(contexts: Contexts, start: np.ndarray, size: np.ndarray, alone: np.ndarray, table: np.ndarray, learner: Learner) -> None:
-    """One online pass over training stretches; every bit is taken out of its own counts."""
-    w, bits = learner.weights, table.shape[-1].bit_length() - 1
+    """One online pass over training stretches, with ``left_out`` odds: every bit is taken out of its
+    own counts."""
+    slots_, nodes, w = table.shape[-1], alone.shape[-1], learner.weights
+    bits, alone, table = slots_.bit_length() - 1, alone.reshape(-1), table.reshape(CONTEXTS, -1)
     for _, node, bit, hashes, d in lane_steps(contexts, start, size):
         x = np.empty((len(node), len(START)), np.float32)
-        seen = np.zeros(len(node), np.intp)
-        one = bit.astype(np.float32)
-        odds = lambda counts, at: log_odds(np.maximum(counts[0].take(at) - (1 - one), 0), np.maximum(counts[1].take(at) - one, 0))  # noqa: B023, E731
-        x[:, 0], x[:, -1] = odds(alone, node), 0.3
-        at = slots(hashes, node, bits)
+        x[:, 0], x[:, -1] = alone.take(node + bit * np.int32(nodes)), 0.3
+        at = slots(hashes, node, bits) + bit * np.int32(slots_)
+        seen = np.zeros(len(node), np.int8)
         for k in range(CONTEXTS):
-            x[:, 1 + k] = np.rint(ODDS * odds(table[k], at[k])).clip(-127, 127) / ODDS
-            seen += (x[:, 1 + k] != 0) * (3 if k < 2 else 1)
-        gate = gates_of(d, seen)
-        mixed = np.clip((x * w.take(gate, 0)).sum(1), -MOST, MOST)
-        p = 1 / (1 + np.exp(-mixed))
-        cell = (gate * REFINE + refine_cell(mixed)) * 2 + bit
-        learner.refine += np.bincount(cell, minlength=learner.refine.size).reshape(learner.refine.shape)
-        mass = np.bincount(gate, minlength=GATES)
-        learner.used += mass
+            odds = table[k].take(at[k])
+            seen += (odds != 0).view(np.int8) * np.int8(3 if k < 2 else 1)
+            np.multiply(odds, np.float32(1 / ODDS), out=x[:, 1 + k])
+        # The gates of a depth are neighbours.
+        own = slice(gates_of(d, 0), gates_of(d, 0) + 9)
+        mixed = np.einsum("ij,ij->i", x, w[own].astype(np.float32).take(seen, 0))
+        np.clip(mixed, -MOST, MOST, out=mixed)
+        cell = (seen.astype(np.intp) * REFINE + refine_cell(mixed)) * 2 + bit
+        cells = np.bincount(cell, minlength=9 * REFINE * 2).reshape(9, REFINE, 2)
+        mass = cells.sum((1, 2))
+        learner.refine[own] += cells
+        learner.used[own] += mass
         learner.steps += 1
-        push = bit - p
-        grad = np.stack([np.bincount(gate, push * x[:, k], GATES) for k in range(len(START))], 1)
+        x *= (bit.astype(np.float32) - 1 / (1 + np.exp(-mixed)))[:, None]
+        grad = spelling.group_sums(x, seen, mass)
         # A step for each word of the mean, as many as there are up to a hundred.
-        w += RATE / (1 + learner.steps / 4000) ** 0.5 * grad / np.maximum(mass, 1)[:, None] * np.minimum(mass, 100)[:, None] ** 0.5
+        w[own] += RATE / (1 + learner.steps / 4000) ** 0.5 * grad / np.maximum(mass, 1)[:, None] * np.minimum(mass, 100)[:, None] ** 0.5
 
 
 # -- the model over batches -------------------------------------------------------------
@@ -563,8 +586,10 @@ class Words:
 def _read(f: pd.DataFrame) -> Iterator[tuple[Batch, Words]]:
     for n, m, texts, words in f[["n", "n_words", "texts", "words"]].itertuples(index=False):
         raw = zlib.decompress(words)
-        c = np.frombuffer(raw, np.int64, m)
-        yield Batch.unpacked(texts, n), Words(c, np.frombuffer(raw, np.int32, m, 8 * m), np.flatnonzero(c <= 1), raw[12 * m :].split(b" "))
+        c = np.frombuffer(raw, np.int64, m).copy()
+        own = Words(c, np.frombuffer(raw, np.int32, m, 8 * m).copy(), np.flatnonzero(c <= 1), raw[12 * m :].split(b" "))
+        del raw
+        yield Batch.unpacked(texts, n), own
 
 
 def spelled(b: Batch, words: Words, contexts: Contexts, at: np.ndarray) -> tuple[list[bytes], np.ndarray]:
@@ -626,26 +651,30 @@ def count_batch(b: Batch, words: Words, escape: int, tables: dict[str, np.ndarra
             spelling.count_bits(names, tables["letters"], outer)
 
 
-def learn_batch(b: Batch, words: Words, escape: int, tables: dict[str, np.ndarray], learners: Learners, share: int) -> None:
-    """Learn on from one in ``share`` of the batch's training texts, and their words seen once."""
-    b = b.some(np.flatnonzero(b.train)[::share])
-    for part in (b.some(texts) for texts in b.slices(SLICE)):
+def learn_batch(b: Batch, words: Words, escape: int, tables: dict[str, np.ndarray], learners: Learners, together: int) -> None:
+    """Learn on from the batch's training texts, and their words seen once, with tables of counts or
+    what ``left_out`` made of them; a step has ``together`` times the stretches."""
+    odds = tables if tables["near"].dtype == np.int8 else left_out(tables)
+    b = b.some(np.flatnonzero(b.train))
+    for part in (b.some(texts) for texts in b.slices(LANES * STRETCH * together)):
         c, lengths = words.c[part.words], part.about[:, 0]
         own = word_contexts(words.path[part.words], c <= 1, lengths)
         contexts = Contexts(np.where(c == 1, np.int32(escape), own.path), own.hashes)
-        names, outer = spelled(part, words, contexts, np.flatnonzero(c == 1))
-        _, used, refine = spelling.learn_weights(names, tables["letters"], learners.letters, outer)
-        learners.used, learners.refine = learners.used + used, learners.refine + refine
+        once = np.flatnonzero(c == 1)
+        for lo in range(0, len(once), 50_000):
+            names, outer = spelled(part, words, contexts, once[lo : lo + 50_000])
+            _, used, refine = spelling.learn_weights(names, None, learners.letters, outer, odds["letters"], together)
+            learners.used, learners.refine = learners.used + used, learners.refine + refine
         _, first, size = stretches(lengths)
         order = np.argsort(-size, kind="stable")
-        for lo in range(0, len(order), 1024):
-            some = order[lo : lo + 1024]
-            learn_stretches(contexts, first[some], size[some], tables["alone"], tables["near"], learners.path)
+        for lo in range(0, len(order), LANES * together):
+            some = order[lo : lo + LANES * together]
+            learn_stretches(contexts, first[some], size[some], odds["alone"], odds["near"], learners.path)
 
 
 def fit_models(batches: DataFrame, total: int, depth: int, escape: int, once: int, buckets: np.ndarray) -> tuple[PathModel, spelling.BitModel]:
     """Bit counts over all training texts, of ``total`` words and ``once`` seen once, then weights
-    and refinement from a share of their stretches."""
+    and refinement from all of their stretches."""
     spark = batches.sparkSession
     nodes = 1 << max(depth + 1, escape.bit_length())
     bits = min(SLOT_BITS, max(LEAST_BITS, int(total).bit_length() - 6))
@@ -663,17 +692,18 @@ def fit_models(batches: DataFrame, total: int, depth: int, escape: int, once: in
         tables.clear()
         release()
 
-    share = int(min(LEARN_SHARE, max(1, total // LEARN_WORDS)))
+    together = int(min(TOGETHER, max(1, total // LEARN_WORDS)))
     tasks = int(min(2 * spark.sparkContext.defaultParallelism, max(1, total // TABLE_WORDS)))
     tables = summed_tables(batches.coalesce(tasks).mapInPandas(count, "name string, task long, part int, counts binary"), shapes, tasks)
-    shared = spark.sparkContext.broadcast(tables)
+    shared = spark.sparkContext.broadcast(left_out(tables))
 
     def learning(start: Learners):
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             now = Learners(Learner(start.path.weights.copy(), start.path.steps), spelling.Learner(start.letters.weights.copy(), start.letters.steps))
             for f in frames:
                 for b, words in _read(f):
-                    learn_batch(b, words, escape, shared.value, now, share)
+                    learn_batch(b, words, escape, shared.value, now, together)
+                    release()
             for name, learner, used, refine in (("near", now.path, now.path.used, now.path.refine), ("letters", now.letters, now.used, now.refine)):
                 if used.any():
                     yield pd.DataFrame({"name": [name], "weights": [learner.weights.tobytes()], "steps": [learner.steps], "used": [used.tobytes()], "refine": [refine.tobytes()]})
@@ -682,7 +712,7 @@ def fit_models(batches: DataFrame, total: int, depth: int, escape: int, once: in
         return run
 
     now, low = Learners(), 0
-    for high in (r // 4 if batches.count() >= MANY_BATCHES else r for r in ROUNDS):
+    for high in ROUNDS:
         got = batches.where(f"place >= {low} AND place < {high}").mapInPandas(learning(now), "name string, weights binary, steps long, used binary, refine binary").collect()
         for name, learner, refine in (("near", now.path, now.path.refine), ("letters", now.letters, now.refine)):
             used, weights = np.full((len(learner.weights), 1), 1e-9), learner.weights * 1e-9

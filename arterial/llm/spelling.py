@@ -74,13 +74,16 @@ def context_hashes(data: np.ndarray, place: np.ndarray, word: np.ndarray, outer:
     near = [np.zeros(1, np.uint64) if outer is None else outer[which][word].astype(np.uint64) for which, _ in OUTER]
     found = [out[o] ^ np.uint64(o * 0x51ED27) for o in ORDERS]
     found += [out[o] ^ (w + np.uint64(0x7F4A + k)) * _CTX[20 + k] for k, ((_, o), w) in enumerate(zip(OUTER, near, strict=True))]
-    return [x * _MULT for x in found]
+    found = [x * _MULT for x in found]
+    return [x ^ (x >> np.uint64(31)) for x in found]
 
 
 def slots(ctx: np.ndarray, node: np.ndarray, size: int) -> np.ndarray:
     """Slots in a table of ``size`` of the bit at ``node`` (the byte's bits so far behind a leading 1)."""
-    h = (ctx ^ (ctx >> np.uint64(31))) + node.astype(np.uint64) * _CTX[30]
-    return ((h * _MULT) >> np.uint64(65 - size.bit_length())).astype(np.int64)
+    h = ctx + node.view(np.uint64) * _CTX[30]
+    h *= _MULT
+    h >>= np.uint64(65 - size.bit_length())
+    return h.view(np.int64)
 
 
 def bit_steps(data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -133,44 +136,68 @@ class Learner:
     steps: int = 0
 
 
-def learn_weights(words: list[bytes], table: np.ndarray, learner: Learner | None = None, outer: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def left_out(table: np.ndarray) -> np.ndarray:
+    """Log odds (predictors, bit, slots) of a table of counts, with a bit taken out of its own slot; not 0
+    where others were seen."""
+    out = np.empty(table.shape, np.float32)
+    for bit in (0, 1):
+        n0, n1 = table[:, 0] - np.float32(1 - bit), table[:, 1] - np.float32(bit)
+        out[:, bit] = log_odds(np.maximum(n0, 0), np.maximum(n1, 0))
+        out[:, bit][(out[:, bit] == 0) & (n0 + n1 > 0)] = 1e-12
+        out[:, bit][n0 + n1 <= 0] = 0
+    return out
+
+
+def group_sums(x: np.ndarray, group: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of the rows of x by group (small whole numbers), whose sizes are given. Matrix products would
+    start threads of their own."""
+    out, there = np.zeros((len(sizes), x.shape[1])), np.flatnonzero(sizes)
+    if len(there):
+        out[there] = np.add.reduceat(x.take(np.argsort(group, kind="stable"), 0), (np.cumsum(sizes) - sizes)[there], 0)
+    return out
+
+
+def learn_weights(words: list[bytes], table: np.ndarray | None, learner: Learner | None = None, outer: np.ndarray | None = None, odds: np.ndarray | None = None, together: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """One online pass: weights (gates, predictors), how often each gate was used, and refinement
     counts (gates, REFINE, 2). A word's own bits are taken out of the counts, so each is
-    learned from as an unseen one. A ``learner`` is carried on."""
+    learned from as an unseen one; ``odds`` are what ``left_out`` makes of the table, if at hand.
+    A ``learner`` is carried on; an update has ``together`` times the bytes."""
     gates = GATES
+    odds = left_out(table) if odds is None else odds
+    size, odds = odds.shape[-1], odds.reshape(PREDICTORS, -1)
     learner = learner or Learner(np.tile(START, (gates, 1)))
     w, t = learner.weights, learner.steps
     used, refine = np.zeros(gates), np.zeros((gates, REFINE, 2))
-    for part in _updates(words):
+    for part in _updates(words, UPDATE_BYTES * together):
         data, place, word = flat_words(words[part])
         ctx = context_hashes(data, place, word, None if outer is None else outer[:, part])
         for node, bit in bit_steps(data):
             t += 1
             x = np.empty((len(data), PREDICTORS), np.float32)
-            gate = np.zeros(len(data), np.int64)
+            gate, high = np.zeros(len(data), np.int8), bit * np.int64(size)
             for o in range(PREDICTORS):
-                at = slots(ctx[o], node, table.shape[-1])
-                n0, n1 = table[o, 0][at] - (bit == 0), table[o, 1][at] - (bit == 1)
-                x[:, o] = np.log((np.maximum(n1, 0) + PRIOR) / (np.maximum(n0, 0) + PRIOR))
-                gate += (n0 + n1 > 0) * _FAMILY[o]
-            mixed = np.clip((x * w[gate]).sum(1), -20, 20)
-            p = 1 / (1 + np.exp(-mixed))
-            cell = (gate * REFINE + _refine_cell(mixed)) * 2 + bit
-            refine += np.bincount(cell, minlength=refine.size).reshape(refine.shape)
-            mass = np.bincount(gate, minlength=gates)
+                got = odds[o].take(slots(ctx[o], node, size) + high)
+                x[:, o] = got
+                gate += (got != 0).view(np.int8) * np.int8(_FAMILY[o])
+            mixed = np.einsum("ij,ij->i", x, w.astype(np.float32).take(gate, 0))
+            np.clip(mixed, -20, 20, out=mixed)
+            cell = (gate.astype(np.int64) * REFINE + _refine_cell(mixed)) * 2 + bit
+            cells = np.bincount(cell, minlength=refine.size).reshape(refine.shape)
+            mass = cells.sum((1, 2))
+            refine += cells
             used += mass
-            push = bit - p
-            grad = np.stack([np.bincount(gate, push * x[:, o], gates) for o in range(PREDICTORS)], 1)
+            x *= (bit.astype(np.float32) - 1 / (1 + np.exp(-mixed)))[:, None]
+            grad = group_sums(x, gate, mass)
             w += RATE / (1 + t / 400) ** 0.5 * grad / np.maximum(mass, 1)[:, None]
     learner.steps = t
     return w, used, refine
 
 
-def _updates(words: list[bytes]) -> Iterator[slice]:
+def _updates(words: list[bytes], most: int) -> Iterator[slice]:
     at, size = 0, 0
     for k, w in enumerate(words):
         size += len(w) + 1
-        if size >= UPDATE_BYTES or k == len(words) - 1:
+        if size >= most or k == len(words) - 1:
             yield slice(at, k + 1)
             at, size = k + 1, 0
 

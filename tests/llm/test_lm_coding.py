@@ -190,3 +190,28 @@ def test_words_that_share_a_hash_stay_apart(monkeypatch):
     names = [w.decode() for r in rows for w in r["word"]]
     b = mixlm.Batch.unpacked(head["texts"].iloc[0], 1)
     assert [names[w] for w in b.words] == OTHER * 2
+
+
+@pytest.mark.parametrize("together", [1, 3])
+def test_all_training_texts_teach(together):
+    """Every coded bit of every training text is learned from, however many texts share a step."""
+    names, b, words, escape, *_ = fitted(corpus())
+    tables = {"alone": np.zeros((2, 1 << 24), np.float32), "near": np.zeros((mixlm.CONTEXTS, 2, 1 << 14), np.float32), "letters": np.zeros((spelling.PREDICTORS, 2, 1 << 14), np.float32)}
+    mixlm.count_batch(b, words, escape, tables)
+    learned = mixlm.Learners()
+    mixlm.learn_batch(b, words, escape, tables, learned, together)
+    own = b.words[np.repeat(b.train, b.about[:, 0])]
+    c, path = words.c[own], words.path[own]
+    assert learned.path.used.sum() == learned.path.refine.sum() == mixlm.path_bits(np.where(c == 1, escape, path)).sum()
+    assert learned.used.sum() == learned.refine.sum() == 8 * sum(len(names[w]) + 1 for w in own[c == 1])
+    assert mixlm.ROUNDS[-1] == 64  # all batches
+
+
+def test_left_out_odds_are_those_without_the_bit():
+    counts = RNG.integers(0, 3, (1, 2, 500)).astype(np.float32)
+    got = spelling.left_out(counts)[0]
+    for bit in (0, 1):
+        own = np.flatnonzero(counts[0, bit] > 0)
+        n = counts[0][:, own] - np.array([[1 - bit], [bit]])
+        assert np.allclose(got[bit, own], spelling.log_odds(n[0], n[1]), atol=1e-6)
+        assert ((got[bit, own] != 0) == (n.sum(0) > 0)).all()
