@@ -83,6 +83,8 @@ RATE, CODING_RATE = 0.02, 0.02
 REFINE = 33
 #: Mixed odds at most, and their steps a unit in coding.
 MOST, FINE = 15, 64
+#: Words of a matrix product of nine gates and the inputs, at most.
+ALONE = 4096
 #: Log odds are held in steps of 1 / 16.
 ODDS = 16
 #: Training words that a table of counts stands for, about.
@@ -94,6 +96,8 @@ CLASSES = 4
 _KIND_OF = np.full(256, -1, np.int8)
 _KIND_OF[list(BLANKS)] = np.arange(len(BLANKS))
 _MULT = np.random.default_rng(3).integers(1, 1 << 31, 8, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_NINE = np.arange(9, dtype=np.int8)[:, None]
+_NODE = np.uint32(int(_MULT[6]) * int(_MULT[7]) & 0xFFFFFFFF)
 
 
 # -- batches of texts -------------------------------------------------------------------
@@ -387,9 +391,10 @@ def _context_hashes(path: np.ndarray, rare: np.ndarray, lengths: np.ndarray) ->
 
 
 def slots(hashes: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
-    """Slots of contexts (contexts, words) at the words' nodes."""
-    h = (hashes + node.astype(np.uint32) * _MULT[6]) * _MULT[7]
-    return (h >> np.uint32(32 - bits)).view(np.int32)
+    """Slots of contexts (contexts, words) at the words' nodes; the hashes come times ``_MULT[7]``."""
+    h = hashes + node.view(np.uint32) * _NODE
+    h >>= np.uint32(32 - bits)
+    return h.view(np.int32)
 
 
 def path_bits(path: np.ndarray) -> np.ndarray:
@@ -403,10 +408,10 @@ def count_paths(contexts: Contexts, keep: np.ndarray, alone: np.ndarray, table:
     where = np.flatnonzero(keep)
     for lo in range(0, len(where), 100_000):
         some = where[lo : lo + 100_000]
-        path, hashes = contexts.path[some], contexts.hashes[:, some]
+        path = contexts.path[some]
         length = path_bits(path)
         order = np.argsort(-length.astype(np.int8), kind="stable")
-        path, hashes, length = path[order], hashes[:, order], length[order]
+        path, hashes, length = path[order], contexts.hashes.take(some[order], 1) * _MULT[7], length[order]
         until = [np.searchsorted(-length, -d) for d in range(length[0] if len(length) else 0)]
         if not until:
             continue
@@ -437,7 +442,7 @@ def log_odds(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
 
 
 def refine_cell(mixed: np.ndarray) -> np.ndarray:
-    return np.clip(np.rint(mixed * 2 + REFINE // 2), 0, REFINE - 1).astype(np.int64)
+    return np.minimum(np.maximum(np.rint(mixed * 2 + REFINE // 2), 0), REFINE - 1).astype(np.int64)
 
 
 def gates_of(depth: int, seen: np.ndarray) -> np.ndarray:
@@ -453,57 +458,95 @@ def stretches(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return text, start, np.minimum(STRETCH, lengths[text] - nth * STRETCH)
 
 
-def lane_steps(contexts: Contexts, start: np.ndarray, size: np.ndarray) -> Iterator[tuple]:
-    """Bit by bit, all stretches side by side, longest first: (lanes, node, bit, hashes, depth)."""
+def lane_words(contexts: Contexts, start: np.ndarray, size: np.ndarray) -> Iterator[tuple]:
+    """Word by word, all stretches side by side, longest first: (lanes, paths, their lengths, hashes
+    for ``slots``, how many have a bit at each depth), longest paths first."""
+    fall = -size
     for t in range(int(size[0]) if len(size) else 0):
-        lanes = np.searchsorted(-size, -t)  # those with a word at t
+        lanes = np.searchsorted(fall, -t)  # those with a word at t
         at = start[:lanes] + t
         path = contexts.path[at]
         length = path_bits(path)
         order = np.argsort(-length.astype(np.int8), kind="stable")
-        path, length, hashes = path[order], length[order], contexts.hashes[:, at[order]]
-        for d in range(length[0]):
-            n = np.searchsorted(-length, -d)
-            up = length[:n] - d
-            yield order[:n], path[:n] >> up, (path[:n] >> (up - 1)) & 1, hashes[:, :n], d
+        hashes = contexts.hashes.take(at[order], 1)  # row by row, which indexing wouldn't keep
+        hashes *= _MULT[7]
+        yield order, path[order], length[order], hashes, (lanes - np.cumsum(np.bincount(length)))[:-1].tolist()
+
+
+def seen_contexts(odds: np.ndarray) -> np.ndarray:
+    """How many contexts of words, times 3, and of frequent words were seen, by log odds (contexts, words)."""
+    seen = (odds != 0).view(np.int8)
+    out = seen[0] + seen[1]
+    out *= np.int8(3)
+    out += seen[2]
+    out += seen[3]
+    return out
+
+
+def chosen(seen: np.ndarray) -> np.ndarray:
+    """A 1 for each word at its gate of the nine of a depth, else 0: (gates, words)."""
+    return (_NINE == seen).astype(np.float32)
+
+
+def picked(weights: np.ndarray, gate: np.ndarray) -> np.ndarray:
+    """Weights (inputs, nine gates) of each word, by ``chosen``. A product with a 1 and eight 0 is exact and
+    faster than taking; blocks are so small that the library starts no threads."""
+    out = np.empty((len(weights), gate.shape[1]), np.float32)
+    for lo in range(0, gate.shape[1], ALONE):
+        out[:, lo : lo + ALONE] = weights @ gate[:, lo : lo + ALONE]
+    return out
+
+
+def gate_sums(x: np.ndarray, gate: np.ndarray) -> np.ndarray:
+    """Sums of inputs (inputs, words) by gate, (gates, inputs), in blocks as in ``picked``."""
+    return sum((gate[:, lo : lo + ALONE] @ x[:, lo : lo + ALONE].T).astype(float) for lo in range(0, x.shape[1], ALONE))
+
+
+def mix(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Mixed odds of inputs (inputs, words), within bounds; the weights are used up."""
+    weights *= x
+    mixed = weights.sum(0)
+    np.maximum(mixed, np.float32(-MOST), out=mixed)
+    return np.minimum(mixed, np.float32(MOST), out=mixed)
 
 
 def code_stretches(contexts: Contexts, start: np.ndarray, size: np.ndarray, model: PathModel) -> np.ndarray:
     """log10 probability of the paths of each stretch, longest first. A stretch adds to the model's
     weights its own, which start at 0 and adapt along it."""
-    own = np.zeros((len(start), len(START)), np.float32)
-    base, bits = model.weights.astype(np.float32), model.odds.shape[1].bit_length() - 1
-    out, now = np.zeros(len(start)), np.ones(len(start), np.float64)
-    rate = np.float32(CODING_RATE)
+    own = np.zeros((len(START), len(start)), np.float32)
+    base, bits = np.ascontiguousarray(model.weights.T, np.float32), model.odds.shape[1].bit_length() - 1
+    table, tables = model.odds.reshape(-1), (np.arange(CONTEXTS, dtype=np.int32) << bits)[:, None]
+    out, rate = np.zeros(len(start)), np.float32(CODING_RATE)
     # Probabilities, plain and refined, at mixed odds in steps of 1 / FINE.
     fine = (np.arange(2 * MOST * FINE + 1) / FINE - MOST).astype(np.float32)
     plain = (1 / (1 + np.exp(-fine))).astype(np.float32)
-    both_of = ((plain + model.refine[:, refine_cell(fine)]) / 2).ravel()
-    for lane, node, bit, hashes, d in lane_steps(contexts, start, size):
-        if d == 0:  # a word is done, and a product of its bits
-            out[lane] += np.log10(now[lane])
-            now[lane] = 1
-        x = np.empty((len(lane), len(START)), np.float32)
-        x[:, 0], x[:, -1] = model.alone.take(node), 0.3
-        at = slots(hashes, node, bits)
-        seen = np.zeros(len(lane), np.int8)
-        for k in range(CONTEXTS):
-            odds = model.odds[k].take(at[k])
-            seen += (odds != 0).view(np.int8) * np.int8(3 if k < 2 else 1)
-            np.multiply(odds, np.float32(1 / ODDS), out=x[:, 1 + k])
-        gate = gates_of(d, seen.astype(np.intp))
-        w = own.take(lane, 0)
-        mixed = np.einsum("ij,ij->i", x, base.take(gate, 0) + w)
-        np.clip(mixed, -MOST, MOST, out=mixed)
-        cell = (mixed * np.float32(FINE) + np.float32(MOST * FINE + 0.5)).astype(np.intp)
-        p, both = plain.take(cell), both_of.take(gate * len(fine) + cell)
-        one = bit.astype(np.float32)
-        # A bit's probability: that of a one, or what is left of it.
-        now[lane] *= np.maximum(np.abs(1 - one - both), np.float32(1e-6))
-        x *= (rate * (one - p))[:, None]
-        x += w
-        own[lane] = x
-    return out + np.log10(now)
+    both_of = (plain + model.refine[:, refine_cell(fine)]) / 2
+    for lane, path, length, hashes, until in lane_words(contexts, start, size):
+        w, now = own.take(lane, 1), np.ones(len(lane))
+        for d, n in enumerate(until):
+            node = path[:n] >> (length[:n] - (d + 1))
+            one = (node & 1).astype(np.float32)
+            node >>= 1
+            x = np.empty((len(START), n), np.float32)
+            x[0], x[-1] = model.alone.take(node), 0.3
+            at = slots(hashes[:, :n], node, bits)
+            at += tables
+            odds = table.take(at)
+            np.multiply(odds, np.float32(1 / ODDS), out=x[1:-1])
+            seen, low = seen_contexts(odds), gates_of(d, 0)
+            weights = picked(base[:, low : low + 9], chosen(seen))
+            weights += w[:, :n]
+            mixed = mix(x, weights)
+            cell = (mixed * np.float32(FINE) + np.float32(MOST * FINE + 0.5)).astype(np.intp)
+            p = plain.take(cell)
+            cell += seen.astype(np.intp) * len(fine)
+            # A bit's probability: that of a one, or what is left of it.
+            now[:n] *= np.maximum(np.abs(1 - one - both_of[low : low + 9].take(cell)), np.float32(1e-6))
+            x *= rate * (one - p)
+            w[:, :n] += x
+        own[:, lane] = w
+        out[lane] += np.log10(now)
+    return out
 
 
 @dataclass
@@ -530,30 +573,34 @@ def learn_stretches(contexts: Contexts, start: np.ndarray, size: np.ndarray, alo
     """One online pass over training stretches, with ``left_out`` odds: every bit is taken out of its
     own counts."""
     slots_, nodes, w = table.shape[-1], alone.shape[-1], learner.weights
-    bits, alone, table = slots_.bit_length() - 1, alone.reshape(-1), table.reshape(CONTEXTS, -1)
-    for _, node, bit, hashes, d in lane_steps(contexts, start, size):
-        x = np.empty((len(node), len(START)), np.float32)
-        x[:, 0], x[:, -1] = alone.take(node + bit * np.int32(nodes)), 0.3
-        at = slots(hashes, node, bits) + bit * np.int32(slots_)
-        seen = np.zeros(len(node), np.int8)
-        for k in range(CONTEXTS):
-            odds = table[k].take(at[k])
-            seen += (odds != 0).view(np.int8) * np.int8(3 if k < 2 else 1)
-            np.multiply(odds, np.float32(1 / ODDS), out=x[:, 1 + k])
-        # The gates of a depth are neighbours.
-        own = slice(gates_of(d, 0), gates_of(d, 0) + 9)
-        mixed = np.einsum("ij,ij->i", x, w[own].astype(np.float32).take(seen, 0))
-        np.clip(mixed, -MOST, MOST, out=mixed)
-        cell = (seen.astype(np.intp) * REFINE + refine_cell(mixed)) * 2 + bit
-        cells = np.bincount(cell, minlength=9 * REFINE * 2).reshape(9, REFINE, 2)
-        mass = cells.sum((1, 2))
-        learner.refine[own] += cells
-        learner.used[own] += mass
-        learner.steps += 1
-        x *= (bit.astype(np.float32) - 1 / (1 + np.exp(-mixed)))[:, None]
-        grad = spelling.group_sums(x, seen, mass)
-        # A step for each word of the mean, as many as there are up to a hundred.
-        w[own] += RATE / (1 + learner.steps / 4000) ** 0.5 * grad / np.maximum(mass, 1)[:, None] * np.minimum(mass, 100)[:, None] ** 0.5
+    bits, alone, table = slots_.bit_length() - 1, alone.reshape(-1), table.reshape(-1)
+    tables = (np.arange(CONTEXTS, dtype=np.int32) * np.int32(2 * slots_))[:, None]
+    for _, path, length, hashes, until in lane_words(contexts, start, size):
+        for d, n in enumerate(until):
+            node = path[:n] >> (length[:n] - (d + 1))
+            bit = node & 1
+            node >>= 1
+            x = np.empty((len(START), n), np.float32)
+            x[0], x[-1] = alone.take(node + bit * np.int32(nodes)), 0.3
+            at = slots(hashes[:, :n], node, bits)
+            at += tables
+            at += bit * np.int32(slots_)
+            odds = table.take(at)
+            np.multiply(odds, np.float32(1 / ODDS), out=x[1:-1])
+            # The gates of a depth are neighbours.
+            seen, own = seen_contexts(odds), slice(gates_of(d, 0), gates_of(d, 0) + 9)
+            gate = chosen(seen)
+            mixed = mix(x, picked(w[own].T.astype(np.float32), gate))
+            cell = (seen.astype(np.intp) * REFINE + refine_cell(mixed)) * 2 + bit
+            cells = np.bincount(cell, minlength=9 * REFINE * 2).reshape(9, REFINE, 2)
+            mass = cells.sum((1, 2))
+            learner.refine[own] += cells
+            learner.used[own] += mass
+            learner.steps += 1
+            x *= bit.astype(np.float32) - 1 / (1 + np.exp(-mixed))
+            # A step for each word of the mean, as many as there are up to a hundred.
+            step = RATE / (1 + learner.steps / 4000) ** 0.5 * np.sqrt(np.minimum(mass, 100)) / np.maximum(mass, 1)
+            w[own] += step[:, None] * gate_sums(x, gate)
 
 
 # -- the model over batches -------------------------------------------------------------

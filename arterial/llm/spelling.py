@@ -27,7 +27,7 @@ PREDICTORS = len(ORDERS) + len(OUTER)
 #: Slots of a predictor's table as a power of two, at most and at least.
 TABLE_BITS, LEAST_BITS = 18, 14
 #: Bytes of words that are coded together, and those that share one weight update.
-STEP_BYTES, UPDATE_BYTES = 120_000, 3_000
+STEP_BYTES, UPDATE_BYTES = 16_000, 3_000
 PRIOR = 0.4
 #: Weights that learning starts from, by predictor.
 START = np.array([0.1, 0.1, 0.1, 0.2, 0.2, 0.1, 0.2, 0.2, 0.1])
@@ -37,9 +37,9 @@ REFINE = 33
 #: Gates: how many predictors of either family have seen their context.
 GATES = (len(ORDERS) + 1) * (len(OUTER) + 1)
 END_WORD = 0x20
-_FAMILY = np.array([len(OUTER) + 1] * len(ORDERS) + [1] * len(OUTER))
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _CTX = (np.random.default_rng(3).integers(1, 1 << 62, 32, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+_NODE = np.uint64(int(_CTX[30]) * int(_MULT) & 0xFFFFFFFFFFFFFFFF)
 
 
 @dataclass
@@ -60,9 +60,9 @@ def flat_words(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return data, place, np.repeat(np.arange(len(words)), lengths)
 
 
-def context_hashes(data: np.ndarray, place: np.ndarray, word: np.ndarray, outer: np.ndarray | None) -> list[np.ndarray]:
+def context_hashes(data: np.ndarray, place: np.ndarray, word: np.ndarray, outer: np.ndarray | None) -> np.ndarray:
     """For each predictor, a hash of the bytes before within the word, the capped place, and the
-    word's outer context (outer contexts, words)."""
+    word's outer context (outer contexts, words), as ``slots`` takes it: (predictors, bytes)."""
     h = (np.minimum(place, 3).astype(np.uint64) + np.uint64(1)) * _CTX[31]
     out = {0: h.copy()}
     for k in range(1, ORDERS[-1] + 1):
@@ -74,14 +74,16 @@ def context_hashes(data: np.ndarray, place: np.ndarray, word: np.ndarray, outer:
     near = [np.zeros(1, np.uint64) if outer is None else outer[which][word].astype(np.uint64) for which, _ in OUTER]
     found = [out[o] ^ np.uint64(o * 0x51ED27) for o in ORDERS]
     found += [out[o] ^ (w + np.uint64(0x7F4A + k)) * _CTX[20 + k] for k, ((_, o), w) in enumerate(zip(OUTER, near, strict=True))]
-    found = [x * _MULT for x in found]
-    return [x ^ (x >> np.uint64(31)) for x in found]
+    hashes = np.stack(found)
+    hashes *= _MULT
+    hashes ^= hashes >> np.uint64(31)
+    hashes *= _MULT
+    return hashes
 
 
 def slots(ctx: np.ndarray, node: np.ndarray, size: int) -> np.ndarray:
     """Slots in a table of ``size`` of the bit at ``node`` (the byte's bits so far behind a leading 1)."""
-    h = ctx + node.view(np.uint64) * _CTX[30]
-    h *= _MULT
+    h = ctx + node.view(np.uint64) * _NODE
     h >>= np.uint64(65 - size.bit_length())
     return h.view(np.int64)
 
@@ -125,7 +127,7 @@ def log_odds(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
 
 
 def _refine_cell(x: np.ndarray) -> np.ndarray:
-    return np.clip(np.rint(x * 2 + REFINE // 2), 0, REFINE - 1).astype(np.int64)
+    return np.minimum(np.maximum(np.rint(x * 2 + REFINE // 2), 0), REFINE - 1).astype(np.int64)
 
 
 @dataclass
@@ -148,13 +150,21 @@ def left_out(table: np.ndarray) -> np.ndarray:
     return out
 
 
-def group_sums(x: np.ndarray, group: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Sums of the rows of x by group (small whole numbers), whose sizes are given. Matrix products would
-    start threads of their own."""
-    out, there = np.zeros((len(sizes), x.shape[1])), np.flatnonzero(sizes)
-    if len(there):
-        out[there] = np.add.reduceat(x.take(np.argsort(group, kind="stable"), 0), (np.cumsum(sizes) - sizes)[there], 0)
-    return out
+def seen_contexts(odds: np.ndarray) -> np.ndarray:
+    """Gates of log odds (predictors, bits)."""
+    seen = (odds != 0).view(np.int8)
+    gate = seen[: len(ORDERS)].sum(0, np.int8)
+    gate *= np.int8(len(OUTER) + 1)
+    gate += seen[len(ORDERS) :].sum(0, np.int8)
+    return gate.astype(np.intp)
+
+
+def mix(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Mixed odds of inputs (predictors, bits), within bounds; the weights are used up."""
+    weights *= x
+    mixed = weights.sum(0)
+    np.maximum(mixed, np.float32(-20), out=mixed)
+    return np.minimum(mixed, np.float32(20), out=mixed)
 
 
 def learn_weights(words: list[bytes], table: np.ndarray | None, learner: Learner | None = None, outer: np.ndarray | None = None, odds: np.ndarray | None = None, together: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -164,7 +174,8 @@ def learn_weights(words: list[bytes], table: np.ndarray | None, learner: Learner
     A ``learner`` is carried on; an update has ``together`` times the bytes."""
     gates = GATES
     odds = left_out(table) if odds is None else odds
-    size, odds = odds.shape[-1], odds.reshape(PREDICTORS, -1)
+    size, odds = odds.shape[-1], odds.reshape(-1)
+    tables, inputs = (np.arange(PREDICTORS) * (2 * size))[:, None], (np.arange(PREDICTORS) * gates)[:, None]
     learner = learner or Learner(np.tile(START, (gates, 1)))
     w, t = learner.weights, learner.steps
     used, refine = np.zeros(gates), np.zeros((gates, REFINE, 2))
@@ -173,21 +184,18 @@ def learn_weights(words: list[bytes], table: np.ndarray | None, learner: Learner
         ctx = context_hashes(data, place, word, None if outer is None else outer[:, part])
         for node, bit in bit_steps(data):
             t += 1
-            x = np.empty((len(data), PREDICTORS), np.float32)
-            gate, high = np.zeros(len(data), np.int8), bit * np.int64(size)
-            for o in range(PREDICTORS):
-                got = odds[o].take(slots(ctx[o], node, size) + high)
-                x[:, o] = got
-                gate += (got != 0).view(np.int8) * np.int8(_FAMILY[o])
-            mixed = np.einsum("ij,ij->i", x, w.astype(np.float32).take(gate, 0))
-            np.clip(mixed, -20, 20, out=mixed)
-            cell = (gate.astype(np.int64) * REFINE + _refine_cell(mixed)) * 2 + bit
-            cells = np.bincount(cell, minlength=refine.size).reshape(refine.shape)
+            at = slots(ctx, node, size)
+            at += tables
+            at += bit * np.int64(size)
+            x = odds.take(at)
+            gate = seen_contexts(x)
+            mixed = mix(x, w.T.astype(np.float32).take(gate, 1))
+            cells = np.bincount((gate * REFINE + _refine_cell(mixed)) * 2 + bit, minlength=refine.size).reshape(refine.shape)
             mass = cells.sum((1, 2))
             refine += cells
             used += mass
-            x *= (bit.astype(np.float32) - 1 / (1 + np.exp(-mixed)))[:, None]
-            grad = group_sums(x, gate, mass)
+            x *= bit.astype(np.float32) - 1 / (1 + np.exp(-mixed))
+            grad = np.bincount((inputs + gate).ravel(), x.ravel(), PREDICTORS * gates).reshape(PREDICTORS, gates).T
             w += RATE / (1 + t / 400) ** 0.5 * grad / np.maximum(mass, 1)[:, None]
     learner.steps = t
     return w, used, refine
@@ -204,19 +212,19 @@ def _updates(words: list[bytes], most: int) -> Iterator[slice]:
 
 def score_words(words: list[bytes], model: BitModel, outer: np.ndarray | None = None) -> np.ndarray:
     """log10 probability of each word with its end byte."""
-    out = np.zeros(len(words))
+    out, size, odds = np.zeros(len(words)), model.odds.shape[-1], model.odds.reshape(-1)
+    tables, weights, refine = (np.arange(PREDICTORS) * size)[:, None], np.ascontiguousarray(model.weights.T, np.float32), model.refine.reshape(-1)
     for part in word_steps(words):
         data, place, word = flat_words(words[part])
         ctx = context_hashes(data, place, word, None if outer is None else outer[:, part])
-        bits = np.zeros(len(data))
+        now = np.ones(len(data))  # a byte's probability, the product of its bits'
         for node, bit in bit_steps(data):
-            x = np.empty((len(data), PREDICTORS), np.float32)
-            for o in range(PREDICTORS):
-                x[:, o] = model.odds[o][slots(ctx[o], node, model.odds.shape[-1])]
-            gate = (x != 0) @ _FAMILY
-            mixed = np.clip((x * model.weights[gate]).sum(1), -20, 20)
-            p = (1 / (1 + np.exp(-mixed)) + model.refine[gate, _refine_cell(mixed)]) / 2
-            p = np.clip(p, 1e-6, 1 - 1e-6)
-            bits += np.log10(np.where(bit == 1, p, 1 - p))
-        out[part] = np.bincount(word, bits, part.stop - part.start)
+            at = slots(ctx, node, size)
+            at += tables
+            x = odds.take(at)
+            gate = seen_contexts(x)
+            mixed = mix(x, weights.take(gate, 1))
+            p = (1 / (1 + np.exp(-mixed.astype(float))) + refine.take(gate * REFINE + _refine_cell(mixed))) / 2
+            now *= np.abs(1 - bit - np.clip(p, 1e-6, 1 - 1e-6))
+        out[part] = np.bincount(word, np.log10(now), part.stop - part.start)
     return out

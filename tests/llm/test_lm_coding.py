@@ -215,3 +215,23 @@ def test_left_out_odds_are_those_without_the_bit():
         n = counts[0][:, own] - np.array([[1 - bit], [bit]])
         assert np.allclose(got[bit, own], spelling.log_odds(n[0], n[1]), atol=1e-6)
         assert ((got[bit, own] != 0) == (n.sum(0) > 0)).all()
+
+
+def test_words_come_longest_path_first_row_by_row():
+    """What coding and learning read bit by bit lies in rows, and only words with a bit at a depth are there."""
+    path = np.array([5, 9, 3, 17, 2, 6, 33], np.int32)
+    contexts = mixlm.word_contexts(path, np.zeros(7, bool), np.array([4, 3]))
+    steps = list(mixlm.lane_words(contexts, np.array([0, 4]), np.array([4, 3])))
+    seen = [(lane.tolist(), p.tolist(), until) for lane, p, _, _, until in steps]
+    assert seen == [([0, 1], [5, 2], [2, 1]), ([0, 1], [9, 6], [2, 2, 1]), ([1, 0], [33, 3], [2, 1, 1, 1, 1]), ([0], [17], [1, 1, 1, 1])]
+    for (lane, _, _, hashes, _), t in zip(steps, range(4), strict=True):
+        assert hashes.flags.c_contiguous and np.array_equal(hashes, contexts.hashes[:, np.array([0, 4])[lane] + t] * mixlm._MULT[7])
+
+
+@pytest.mark.parametrize("n", [1, 50, 10_000])
+def test_products_pick_and_sum_by_gate(n):
+    seen = RNG.integers(0, 9, n).astype(np.int8)
+    weights, x = RNG.normal(size=(6, 9)).astype(np.float32), RNG.normal(size=(6, n)).astype(np.float32)
+    gate = mixlm.chosen(seen)
+    assert np.array_equal(mixlm.picked(weights, gate), weights[:, seen])
+    assert np.allclose(mixlm.gate_sums(x, gate), [x[:, seen == g].sum(1) for g in range(9)], atol=1e-2)
